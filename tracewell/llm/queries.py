@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, licenses, media, packing, sharding
 from .common import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,36 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    exact = F.filter("spans", lambda s: s.exact == 1)
+    starts = F.transform(exact, lambda s: s["first"])
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s.label))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(exact).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(exact).alias("base_labels"),
+        joined(F.col("spans")).alias("labels"),
+        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s.cover)), F.lit(0.0))).alias("score"),
+    )
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    stored = media.store_texts(docs)
+    figures = media.sequences(media.document_pages(docs), "doc_id").where("kind = 'media'").select("doc_id", "digest", "position", "caption")
+    found = media.resolve(figures, stored)
+    return found.select("doc_id", F.regexp_extract("caption", r"(\d+)$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -24,6 +54,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_pack": op4_pack,
+    "op5_shard": op5_shard,
+    "op6_licenses": op6_licenses,
+    "op8_media": op8_media,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
