@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, packing, sharding
-from .common import read
+from . import bpe, language, licenses, media, packing, sharding
+from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs, fold("doc_id", 4) != 2, public_tokenizers.path(PIECES))
+    return language.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     stored = media.store_texts(docs)
@@ -56,6 +63,7 @@ QUERIES = {
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
     "op6_licenses": op6_licenses,
+    "op7_language": op7_language,
     "op8_media": op8_media,
     "op10_bpe": op10_bpe,
 }
