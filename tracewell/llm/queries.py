@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, sharding
+from . import bpe, language, licenses, media, packing, sharding, toxicity
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    network = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, network).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_windows")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
     "op6_licenses": op6_licenses,
