@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, sharding, toxicity
+from . import bpe, language, licenses, media, packing, sharding, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     network = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -66,6 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pivots": op1_pivots,
     "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
@@ -74,4 +79,25 @@ QUERIES = {
     "op8_media": op8_media,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pivots": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, r) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
+), comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT v.vec_id, coalesce((SELECT count(*) FROM links WHERE links.a = v.vec_id), 0) AS n_links,
+       comp.component_id, comp.component_id = v.vec_id AS kept
+FROM v LEFT JOIN comp ON comp.id = v.vec_id
+""",
+}
