@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, sharding, toxicity, vectors
+from . import bpe, language, licenses, media, packing, sharding, shingles, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.near_texts(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     network = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -71,6 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pivots": op1_pivots,
+    "op2_forest": op2_forest,
     "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
@@ -99,5 +104,24 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce((SELECT count(*) FROM links WHERE links.a = v.vec_id), 0) AS n_links,
        comp.component_id, comp.component_id = v.vec_id AS kept
 FROM v LEFT JOIN comp ON comp.id = v.vec_id
+""",
+    "op2_forest": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w
+), rep AS (SELECT min(doc_id) AS rep, list_sort(s) AS k FROM s WHERE len(s) > 0 GROUP BY list_sort(s)
+), x AS (SELECT rep, len(k) AS n, unnest(k) AS g FROM rep
+), shared AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS hits
+  FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep
+), links AS (SELECT a, b FROM shared WHERE 100 * hits >= 85 * (na + nb - hits)
+), reach(id, r) AS (SELECT rep, rep FROM rep UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r
+), comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id, coalesce(comp.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN rep ON len(s.s) > 0 AND rep.k = list_sort(s.s) LEFT JOIN comp ON comp.id = rep.rep
 """,
 }
