@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, sharding, shingles, toxicity, vectors
+from . import bpe, language, licenses, media, packing, sharding, shingles, suffixes, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -68,6 +68,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.regexp_extract("caption", r"(\d+)$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated(read(spark, sf_dir, "documents"), keep_text=False)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_bytes", (total("high") - total("low")).alias("n_removed"), F.size("low").cast("long").alias("n_spans"), "kept_sha256", "low", "high")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op8_media": op8_media,
+    "op9_suffixes": op9_suffixes,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
