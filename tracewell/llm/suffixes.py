@@ -351,8 +351,8 @@ def without(ranges: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int,
     return [(a, b) for a, b in out if a <= b]
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """(id, n_bytes, low, high, kept, kept_sha256) of every row: the maximal runs of bytes
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: list[str] = ()) -> DataFrame:
+    """(id, n_bytes, low, high, kept, kept_sha256, *carry) of every row: the maximal runs of bytes
     [low, high) that lie in a string of LENGTH bytes which also starts elsewhere, and the rest.
 
     Null texts count as empty; texts shorter than LENGTH lose nothing. Repeated rows are texts of
@@ -363,13 +363,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("raw"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("k"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("raw"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("k"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    carried = [f"carry_{c}" for c in carry]
     found = stage(find_anchors(rows), "anchors")
     often = found.groupBy("gram").count().where("count > 1").select("gram")
     cand = found.join(often, "gram", "left_semi").groupBy("k", "size").agg(F.sort_array(F.collect_set(F.struct("p", "lo", "hi"))).alias("cand"))
     held = F.col("cand").isNotNull()
     joined = rows.join(cand, ["k", "size"], "left")
-    base = stage(joined.select("id", "k", "size", "cand", (F.col("raw") if keep_text else F.when(held, F.col("raw"))).alias("raw"), F.when(~held, F.sha2("raw", 256)).alias("sha")), "candidates")
+    base = stage(joined.select("id", "k", "size", "cand", *carried, (F.col("raw") if keep_text else F.when(held, F.col("raw"))).alias("raw"), F.when(~held, F.sha2("raw", 256)).alias("sha")), "candidates")
     some = base.where(held)
     n_anchors = some.agg(F.sum(F.size("cand"))).first()[0] or 0
     suffixes = sorted_suffixes(some, n_anchors)
@@ -432,7 +433,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     spans = sure.union(opened).groupBy("k", "size").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
     def cut():
-        def work(ids, sizes, raws, shas, spans):
+        def work(ids, sizes, raws, shas, spans, *rest):
             out = {k: [] for k in ("id", "n_bytes", "low", "high", "kept", "kept_sha256")}
             for i, size, raw, sha, found in zip(ids, sizes, raws, shas, spans, strict=True):
                 low, high = [], []
@@ -445,12 +446,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 kept = None if raw is None else b"".join(raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True))
                 for key, v in zip(out, (i, size, low, high, kept if low or keep_text else None, sha if sha and not low else hashlib.sha256(kept).hexdigest()), strict=True):
                     out[key].append(v)
-            return out
+            return out | dict(zip(carried, rest, strict=True))
 
         return work
 
-    ddl = "id long, n_bytes long, low array<long>, high array<long>, kept binary, kept_sha256 string"
-    touched = map_rows(some.join(spans, ["k", "size"], "left"), ["id", "size", "raw", "sha", "spans"], ddl, cut, rows=200)
+    kinds = dict(base.dtypes)
+    more = "".join(f", {c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in carried)
+    ddl = "id long, n_bytes long, low array<long>, high array<long>, kept binary, kept_sha256 string" + more
+    touched = map_rows(some.join(spans, ["k", "size"], "left"), ["id", "size", "raw", "sha", "spans", *carried], ddl, cut, rows=200)
     none = F.array().cast("array<long>")
-    clean = base.where(~held).select("id", F.col("size").alias("n_bytes"), none.alias("low"), none.alias("high"), F.col("raw").alias("kept"), F.col("sha").alias("kept_sha256"))
-    return touched.union(clean).withColumnRenamed("id", id_col)
+    clean = base.where(~held).select("id", F.col("size").alias("n_bytes"), none.alias("low"), none.alias("high"), F.col("raw").alias("kept"), F.col("sha").alias("kept_sha256"), *carried)
+    named = {"id": id_col} | dict(zip(carried, carry, strict=True))
+    return touched.union(clean).withColumnsRenamed(named)
