@@ -9,6 +9,7 @@ record for each piece, so that a document across a border has one on either side
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
 from itertools import accumulate
 
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import map_rows, small_batches, stage
 
 #: Strings whose ids a Python worker keeps, and their greatest length.
@@ -39,6 +41,7 @@ class Tokens:
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
         self.double, self.gaps = regex.compile(r"\s\s"), regex.compile(r"(?<=\S)(?= \S)")
         self.kept: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
 
     def words(self, text: str) -> list[str]:
         if self.special.search(text):
@@ -48,14 +51,34 @@ class Tokens:
         head, *rest = text.split(" ")
         return [head, *[" " + w for w in rest]] if head else [" " + w for w in rest]
 
+    def word(self, word: str) -> bytes | None:
+        """The ids of letters, a space before and punctuation after them allowed; None for other
+        strings. Letters are one piece of the pre-tokenizer, punctuation the next, so each goes
+        to the library's model by itself, without the rest of its pipeline."""
+        stem = word.rstrip(string.punctuation)
+        if not stem.removeprefix(" ").isalpha():
+            return None
+        kept, out = self.kept, b""
+        for part in (stem, word[len(stem) :]):
+            if part and part not in kept:
+                made = self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+                kept[part] = np.array([t.id for t in made], "<u4").tobytes()
+            out += kept[part] if part else b""
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         cut = [self.words(t) if t else [] for t in texts]
         if len(self.kept) > KEPT:
             self.kept.clear()
         kept = self.kept
-        new = list({w for words in cut for w in words if w not in kept})
-        extra = {}
+        extra, new = {}, []
+        for w in {w for words in cut for w in words if w not in kept}:
+            ids = self.word(w) if len(w) <= KEPT_CHARS else None
+            if ids is None:
+                new.append(w)
+            else:
+                kept[w] = ids
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             (kept if len(w) <= KEPT_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
         if extra:
