@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import usage_jobs
+
+QUERIES = usage_jobs.QUERIES
+ORACLES = usage_jobs.ORACLES
