@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import usage_jobs
+from . import audit_jobs, usage_jobs
 
-QUERIES = usage_jobs.QUERIES
-ORACLES = usage_jobs.ORACLES
+_MODULES = (usage_jobs, audit_jobs)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: text for m in _MODULES for name, text in m.ORACLES.items()}
