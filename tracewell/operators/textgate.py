@@ -28,7 +28,7 @@ LINES = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 def lines(text: Column) -> Column:
     """A text's lines; a break at its end starts no line."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, f"(?:{LINES})$", ""), LINES))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, f"(?:{LINES})\\z", ""), LINES))
 
 
 def line_chunks(docs: DataFrame, size: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,12 +40,12 @@ def read_pack_receipts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
-    """(receipts of date folders from ``cutoff`` on, unreadable lines); folders before it are not listed."""
-    schema = T.StructType([*SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).withColumn("source_file", F.col("_metadata.file_path"))
-    rows = rows.withColumn("date", F.to_date(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1))).where(F.col("date") >= F.lit(cutoff).cast("date"))
-    good = normalize(rows.where("_corrupt_record is null").drop("_corrupt_record"))
-    return good, rows.where("_corrupt_record is not null").select("source_file", "date", "_corrupt_record")
+    """(receipts of date folders from ``cutoff`` on, unreadable lines of those folders)."""
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file")).where("trim(raw) <> ''")
+    rows = lines.withColumn("date", F.to_date(F.regexp_extract("source_file", r"(\d{4}-\d{2}-\d{2})/[^/]+$", 1))).where(F.col("date") >= F.lit(cutoff).cast("date"))
+    rows = rows.withColumn("ok", F.expr("try_parse_json(raw)").isNotNull())
+    good = normalize(rows.where("ok").withColumn("r", F.from_json("raw", SCHEMA)).select("source_file", "date", "raw", "r.*"))
+    return good, rows.where("not ok").select("source_file", "date", "raw")
 
 
 def in_window(receipts: DataFrame, end: str, days: int = 7) -> DataFrame:
