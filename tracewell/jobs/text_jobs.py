@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import shared_folder
 from ..operators import comparability, coverage, textgate
 from ..sources.receipts import from_events
 from ..streaming import streams
@@ -130,12 +131,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}/stream"
+    path = f"{shared_folder(spark)}/tracewell-{uuid.uuid4().hex}/stream"
     streams.run_available(stream, path, mode)
     return spark.read.schema(stream.schema).parquet(path)
 

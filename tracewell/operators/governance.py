@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stages import settle
+
 MODES = ("permissive", "balanced", "strict")
 
 
@@ -167,7 +169,7 @@ def admissible(artifacts: DataFrame, inputs: DataFrame, rounds: int = 64) -> Dat
     for _ in range(rounds):
         met = inputs.distinct().join(good.withColumnRenamed("artifact_id", "input_id"), "input_id", "left_semi").groupBy("artifact_id").agg(F.count("*").alias("met"))
         more = need.join(met, "artifact_id").where("need = met").select("artifact_id").join(active, "artifact_id", "left_semi")
-        good = good.union(more).distinct().checkpoint()
+        good = settle(good.union(more).distinct())
         new = good.count()
         if new == n:
             break

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stages import settle
 from ..sources.receipts import parse_time
 
 # The family of each error code.
@@ -129,7 +130,7 @@ def merkle_roots(leaves: DataFrame, by: str, order: str, leaf: str, checkpoint_e
         joined = F.sha2(F.concat(F.unhex("a"), F.unhex("b")), 256)
         level = pairs.select(by, F.col("j").alias("i"), F.when(F.col("w") > 1, joined).otherwise(F.col("a")).alias("h"))
         if (k + 1) % checkpoint_every == 0:
-            level = level.checkpoint()
+            level = settle(level)
     return level.select(by, F.col("h").alias("root")).join(sizes, by)
 
 
