@@ -38,6 +38,18 @@ END = b"\xff"
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ODD = [np.uint64(x | 1) for x in np.random.default_rng(401).integers(0, 1 << 63, 6, dtype=np.uint64).tolist()]
 _MOST = 1 << 23
+#: A place and two distances of at most LENGTH before it in one long.
+PACK = 9
+
+
+def packed(p: str, far: str, near: str):
+    return F.expr(f"shiftleft({p}, {2 * PACK}) | shiftleft({far}, {PACK}) | ({near})")
+
+
+def unpacked(codes: list[int]) -> list[tuple[int, int, int]]:
+    """(place, farther distance, nearer distance) of each code."""
+    mask = (1 << PACK) - 1
+    return [(c >> 2 * PACK, c >> PACK & mask, c & mask) for c in codes]
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -80,7 +92,7 @@ def anchors(raw: bytes, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """(k, size, p, lo, hi, gram): anchors of the rows (k, size, raw), and the starts they stand for."""
+    """(k, size, gram, anchor): anchors of the rows (k, size, raw), each packed with the starts it stands for."""
 
     def start():
         def work(keys, sizes, raws):
@@ -91,21 +103,17 @@ def find_anchors(rows: DataFrame) -> DataFrame:
 
         return work
 
-    return map_rows(rows.where(f"size >= {LENGTH}"), ["k", "size", "raw"], "k long, size long, p long, lo long, hi long, gram long", start, rows=100)
-
+    found = map_rows(rows.where(f"size >= {LENGTH}"), ["k", "size", "raw"], "k long, size long, p long, lo long, hi long, gram long", start, rows=100)
+    return found.select("k", "size", "gram", packed("p", "p - lo", "p - hi").alias("anchor"))
 
-def context(raw: bytes, back: bytes, p: int, lo: int, hi: int) -> tuple[bytes, bytes]:
-    """What the strings that start from lo to hi hold from the anchor on, and before it, read back."""
-    n = len(raw)
-    return raw[p : hi + LENGTH], back[n - p : n - lo]
 
-
-def keys_of(raw: bytes, cand: list) -> list[tuple[bytes, bytes]]:
-    back = raw[::-1]
-    out = []
-    for c in cand:
-        right, left = context(raw, back, c["p"], c["lo"], c["hi"])
-        out.append((b"R" + right + END + left + END, b"L" + left + END))
+def keys_of(raw: bytes, cand: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
+    """For each anchor (place, farthest and nearest start before it) what its strings hold from it
+    on, and before it, read back: the key of either order."""
+    back, n, out = raw[::-1], len(raw), []
+    for p, far, near in cand:
+        left = back[n - p : n - p + far]
+        out.append((b"R" + raw[p : p - near + LENGTH] + END + left + END, b"L" + left + END))
     return out
 
 
@@ -293,14 +301,14 @@ def receive(rows: pd.DataFrame) -> pd.DataFrame:
 def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
     """(side, id, twice, best, low, high) of all distinct suffixes of the rows (k, raw, cand)."""
     spark = candidates.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_anchors // 50_000, 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_anchors // 25_000, 1)
     rate = min(1.0, DRAWN * parts / max(2 * n_anchors, 1))
 
     def draw():
         def work(keys, raws, cands):
             drawn = []
             for k, raw, cand in zip(keys, raws, cands, strict=True):
-                some = [c for c in cand if xxhash.xxh3_64_intdigest(struct.pack("<qq", k, c["p"])) < rate * 2**64]
+                some = [c for c in unpacked(cand) if xxhash.xxh3_64_intdigest(struct.pack("<qq", k, c[0])) < rate * 2**64]
                 drawn += [x for pair in keys_of(raw, some) for x in pair]
             return {"key": drawn}
 
@@ -314,7 +322,7 @@ def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
         def work(raws, cands):
             counts: dict[bytes, int] = {}
             for raw, cand in zip(raws, cands, strict=True):
-                for pair in keys_of(raw, cand):
+                for pair in keys_of(raw, unpacked(cand)):
                     for key in pair:
                         counts[key] = counts.get(key, 0) + 1
             pieces: dict[int, list[bytes]] = {}
@@ -367,7 +375,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     carried = [f"carry_{c}" for c in carry]
     found = stage(find_anchors(rows), "anchors")
     often = found.groupBy("gram").count().where("count > 1").select("gram")
-    cand = found.join(often, "gram", "left_semi").groupBy("k", "size").agg(F.sort_array(F.collect_set(F.struct("p", "lo", "hi"))).alias("cand"))
+    cand = found.join(often, "gram", "left_semi").groupBy("k", "size").agg(F.sort_array(F.collect_set("anchor")).alias("cand"))
     held = F.col("cand").isNotNull()
     joined = rows.join(cand, ["k", "size"], "left")
     base = stage(joined.select("id", "k", "size", "cand", *carried, (F.col("raw") if keep_text else F.when(held, F.col("raw"))).alias("raw"), F.when(~held, F.sha2("raw", 256)).alias("sha")), "candidates")
@@ -379,9 +387,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         def work(ks, sizes, raws, cands):
             out = {k: [] for k in ("k", "size", "p", "nearest", "farthest", "gram", "rid", "lid")}
             for k, size, raw, cand in zip(ks, sizes, raws, cands, strict=True):
-                for c, (right, left) in zip(cand, keys_of(raw, cand), strict=True):
-                    gram = xxhash.xxh3_64_intdigest(raw[c["p"] : c["p"] + GRAM]) - (1 << 63)
-                    for key, v in zip(out, (k, size, c["p"], c["p"] - c["hi"], c["p"] - c["lo"], gram, identity(right), identity(left)), strict=True):
+                places = unpacked(cand)
+                for (p, far, near), (right, left) in zip(places, keys_of(raw, places), strict=True):
+                    gram = xxhash.xxh3_64_intdigest(raw[p : p + GRAM]) - (1 << 63)
+                    for key, v in zip(out, (k, size, p, near, far, gram, identity(right), identity(left)), strict=True):
                         out[key].append(v)
             return out
 
@@ -408,41 +417,42 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     decided = stage(map_rows(placed.where("a <= b"), placed.columns, "k long, size long, p long, gram long, a int, b int, sure_low array<int>, sure_high array<int>, open_low array<int>, open_high array<int>", split), "decided")
     span = decided.where("size(open_low) > 0").groupBy("gram").agg(F.min(F.array_min("open_low")).alias("from"), F.max(F.array_max("open_high")).alias("to"))
     watched = decided.join(span, "gram").select("k", "size", "p", F.greatest("a", "from").alias("a"), F.least("b", "to").alias("b"), "open_low", "open_high").where("a <= b")
-    asked = watched.groupBy("k", "size").agg(F.collect_list(F.struct("p", "a", "b", "open_low", "open_high")).alias("asked"))
+    questions = watched.select("k", "size", packed("p", "b", "a").alias("ask"), F.lit(None).cast("long").alias("open"))
+    ranges = watched.select("k", "size", "p", F.explode(F.arrays_zip(F.col("open_low").alias("x"), F.col("open_high").alias("y"))).alias("z"))
+    opens = ranges.select("k", "size", F.lit(None).cast("long").alias("ask"), packed("p", "z.y", "z.x").alias("open"))
+    asked = questions.union(opens).groupBy("k", "size").agg(F.collect_list("ask").alias("ask"), F.collect_list("open").alias("open"))
 
     def strings():
-        def work(ks, sizes, raws, asked):
+        def work(ks, sizes, raws, asked, opens):
             out = {k: [] for k in ("k", "size", "s", "h1", "h2", "open")}
-            for k, size, raw, questions in zip(ks, sizes, raws, asked, strict=True):
-                for q in questions:
-                    for d in range(q["a"], q["b"] + 1):
-                        s = q["p"] - d
-                        high, low = divmod(xxhash.xxh3_128_intdigest(raw[s : s + LENGTH]), 1 << 64)
-                        is_open = any(x <= d <= y for x, y in zip(q["open_low"], q["open_high"], strict=True))
-                        for key, v in zip(out, (k, size, s, high - (1 << 63), low - (1 << 63), is_open), strict=True):
-                            out[key].append(v)
+            for k, size, raw, ask, left in zip(ks, sizes, raws, asked, opens, strict=True):
+                unsure = {p - d for p, far, near in unpacked(left) for d in range(near, far + 1)}
+                for s in {p - d for p, far, near in unpacked(ask) for d in range(near, far + 1)}:
+                    high, low = divmod(xxhash.xxh3_128_intdigest(raw[s : s + LENGTH]), 1 << 64)
+                    for key, v in zip(out, (k, size, s, high - (1 << 63), low - (1 << 63), s in unsure), strict=True):
+                        out[key].append(v)
             return out
 
         return work
 
-    hashed = stage(map_rows(some.select("k", "size", "raw").join(asked, ["k", "size"]), ["k", "size", "raw", "asked"], "k long, size long, s long, h1 long, h2 long, open boolean", strings, rows=50), "strings")
+    hashed = stage(map_rows(some.select("k", "size", "raw").join(asked, ["k", "size"]), ["k", "size", "raw", "ask", "open"], "k long, size long, s long, h1 long, h2 long, open boolean", strings, rows=50), "strings")
     again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("h1", "h2")
     opened = hashed.where("open").join(again, ["h1", "h2"], "left_semi").select("k", "size", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
     zipped = F.explode(F.arrays_zip(F.col("sure_low").alias("x"), F.col("sure_high").alias("y"))).alias("z")
     sure = decided.where("size(sure_low) > 0").select("k", "size", "p", zipped).select("k", "size", (F.col("p") - F.col("z.y")).alias("lo"), (F.col("p") - F.col("z.x") + LENGTH).alias("hi"))
-    spans = sure.union(opened).groupBy("k", "size").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    spans = sure.union(opened).groupBy("k", "size").agg(F.sort_array(F.collect_set(F.expr("shiftleft(lo, 20) | (hi - lo)"))).alias("spans"))
 
     def cut():
         def work(ids, sizes, raws, shas, spans, *rest):
             out = {k: [] for k in ("id", "n_bytes", "low", "high", "kept", "kept_sha256")}
             for i, size, raw, sha, found in zip(ids, sizes, raws, shas, spans, strict=True):
                 low, high = [], []
-                for s in found or []:
-                    if high and s["lo"] <= high[-1]:
-                        high[-1] = max(high[-1], s["hi"])
+                for a, n in ((code >> 20, code & 0xFFFFF) for code in found or []):
+                    if high and a <= high[-1]:
+                        high[-1] = max(high[-1], a + n)
                     else:
-                        low.append(s["lo"])
-                        high.append(s["hi"])
+                        low.append(a)
+                        high.append(a + n)
                 kept = None if raw is None else b"".join(raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True))
                 for key, v in zip(out, (i, size, low, high, kept if low or keep_text else None, sha if sha and not low else hashlib.sha256(kept).hexdigest()), strict=True):
                     out[key].append(v)
