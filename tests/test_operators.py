@@ -134,3 +134,17 @@ def test_streams(spark, tmp_path):
     lines = spark.readStream.schema("raw string, date string").parquet(f"{tmp_path}/lines/l")
     streams.write_traces(lines, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/ck2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/good").first().receipt_id == "r" and spark.read.parquet(f"{tmp_path}/bad").first().raw == "bad"
+
+
+def test_changed_spans_are_those_of_difflib(spark):
+    import difflib
+
+    from tracewell.operators import sessions
+
+    rows = [(1, "a\nb\nc", "a\nx\nc\nd"), (2, "same", "same"), (3, None, "new"), (4, "", None), (5, "a\nb\nb\nc", "b\nc\nb")]
+    got = {}
+    for r in sessions.changed_spans(spark.createDataFrame(rows, "id int, a string, b string"), "id", "a", "b").collect():
+        got.setdefault(r.id, []).append(tuple(r)[1:])
+    for i, a, b in rows:
+        want = [(x, y, z, w) for t, x, y, z, w in difflib.SequenceMatcher(a=(a or "").splitlines(), b=(b or "").splitlines(), autojunk=False).get_opcodes() if t != "equal"]
+        assert got.get(i, []) == want
