@@ -62,6 +62,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     def pack(batches):
         table = pa.Table.from_batches(list(batches))
         if table.num_rows:
+            table = table.sort_by([("h", "ascending"), ("size", "ascending"), ("text_crc32", "ascending")])  # the same again if the task is run again
             needs = np.stack([table[c].to_numpy() for c in ("bytes", "all_tokens", "rows")], axis=1).astype(float)
             share = needs.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-9)
             chosen = place(needs, room * share)
