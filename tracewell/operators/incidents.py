@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stages import settle
+
 # Verdicts that deny.
 DENYING = ("deny", "denied", "block", "blocked")
 
@@ -44,6 +46,8 @@ def chains(receipts: DataFrame, starts: DataFrame, by: str = "pack_id", depth: i
         known = edges.select(by, F.col("receipt_id").alias("parent"))
         up = up.where("parent <> '' and not array_contains(seen, parent)").join(known, [by, "parent"], "left_semi")
         frontier = up.select(by, "receipt_id", F.lit(k).alias("step"), F.col("parent").alias("ancestor"), F.concat("seen", F.array("parent")).alias("seen"))
+        if k % 4 == 0 and k < depth:  # else every step would walk all those before it again
+            frontier = settle(frontier)
         out = out.union(frontier)
     return out.drop("seen")
 
