@@ -19,7 +19,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     refs = items.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("ref_no"), (F.col("l_partkey") % 6 != 0).alias("resolved"), (F.col("l_partkey") % 4 == 1).alias("numeric"), (F.col("l_suppkey") % 3 == 0).alias("affirmative"), F.date_diff(F.lit("2002-01-01").cast("date"), F.col("l_shipdate").cast("date")).alias("age_days"))
     return answers.findings(_answers(spark, sf_dir), refs, 900, ["TECH_CONTROL"]).groupBy("answer_id", "level", "code").agg(F.count("*").alias("n"))
 
@@ -39,7 +39,7 @@ QUERIES = {f.__name__: f for f in (answer_findings, answer_coverage, lock_digest
 _A = f"WITH a AS (SELECT o_orderkey AS k, {STATUS!r}[o_custkey % 4 + 1] AS s, o_orderkey % 3 <> 0 AS factual, {KINDS!r}[o_orderkey % 5 + 1] AS kind, o_custkey % 5 < 2 AS yes, o_orderkey % 7 = 0 AS missing FROM orders)"
 
 ORACLES = {
-    "answer_findings": _A + """, r AS (SELECT l_orderkey AS k, l_partkey % 6 <> 0 AS ok, l_partkey % 4 = 1 AS num, l_suppkey % 3 = 0 AS aff, date_diff('day', l_shipdate::DATE, DATE '2002-01-01') AS age FROM lineitem WHERE l_linenumber < 4)
+    "answer_findings": _A + """, r AS (SELECT l_orderkey AS k, l_partkey % 6 <> 0 AS ok, l_partkey % 4 = 1 AS num, l_suppkey % 3 = 0 AS aff, date_diff('day', l_shipdate::DATE, DATE '2002-01-01') AS age FROM lineitem)
 , g AS (SELECT k, count(*) AS refs, bool_or(ok AND num) AS num, bool_or(ok AND aff) AS aff FROM r GROUP BY k), j AS (SELECT a.*, coalesce(refs, 0) AS refs, coalesce(num, FALSE) AS num, coalesce(aff, FALSE) AS aff FROM a LEFT JOIN g USING (k))
 , f AS (SELECT k, 'error' AS level, 'VQ001_MISSING_CITATION' AS code FROM j WHERE factual AND s IN ('ANSWERED', 'PARTIAL') AND refs = 0
   UNION ALL SELECT k, 'error', 'VQ008_ANSWER_STATUS_INVALID_FOR_CONTENT' FROM j WHERE s = 'ANSWERED' AND missing UNION ALL SELECT k, 'error', 'VQ008_ANSWER_STATUS_INVALID_FOR_CONTENT' FROM j WHERE s = 'INSUFFICIENT_EVIDENCE' AND yes

@@ -43,7 +43,7 @@ def pack_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def episode_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
-    wanted = e.select(F.concat(F.lit("e"), "user_id").alias("episode_id"), F.concat(F.lit("o"), "event_id").alias("obligation_id"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(_pick(k, TYPES), _pick(k + F.col("user_id"), TYPES))).alias("expected")).where("substring(obligation_id, -1) = '3'")
+    wanted = e.select(F.concat(F.lit("e"), "user_id").alias("episode_id"), F.concat(F.lit("o"), "event_id").alias("obligation_id"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(_pick(k, TYPES), _pick(k + F.col("user_id"), TYPES))).alias("expected"))
     seen = e.select(F.concat(F.lit("e"), "user_id").alias("episode_id"), _pick(F.col("user_id") + F.col("event_id") % 3, TYPES).alias("type"))
     return decisions.episode_completeness(wanted, seen).withColumn("completeness", F.round("completeness", 6))
 
@@ -84,7 +84,7 @@ SELECT * FROM r WHERE rule IS NOT NULL""",
 , r AS (SELECT k AS obligation_id, unnest([CASE WHEN s = 'lost' THEN 'unknown status' END, CASE WHEN c % 4 = 3 THEN 'unknown severity' END, CASE WHEN c % 9 = 0 THEN 'unknown type' END, CASE WHEN s = 'discharged' AND c % 2 = 1 THEN 'no receipt' END, CASE WHEN s = 'waived' AND c % 3 <> 0 THEN 'no reason' END, CASE WHEN s = 'escalated' AND c % 5 <> 0 THEN 'no target' END]) AS error FROM o) SELECT * FROM r WHERE error IS NOT NULL""",
     "pack_freshness": f"""WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 <> 0 THEN (epoch_us(TIMESTAMP '{NOW}') - epoch_us(o_orderdate)) / 3600000000 END AS age FROM orders)
 , r AS (SELECT k AS pack_id, unnest([CASE WHEN age IS NULL THEN 'E_TIMESTAMP_INVALID' END, CASE WHEN age > 24 * 365 THEN 'E_PACK_STALE' END, CASE WHEN -age > 24 * 30 THEN 'E_TIMESTAMP_INVALID' END, CASE WHEN k % 3 = 2 THEN 'E_CI_BINDING_MISSING' END, CASE WHEN k % 3 = 1 THEN 'E_CI_BINDING_MISMATCH' END]) AS code FROM p) SELECT * FROM r WHERE code IS NOT NULL""",
-    "episode_completeness": f"""WITH e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events), w AS (SELECT 'e' || user_id AS episode_id, event_id, CASE WHEN k % 5 = 0 THEN [] ELSE [{_choose("k", TYPES)}, {_choose("k + user_id", TYPES)}] END AS x FROM e WHERE event_id % 10 = 3)
+    "episode_completeness": f"""WITH e AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events), w AS (SELECT 'e' || user_id AS episode_id, event_id, CASE WHEN k % 5 = 0 THEN [] ELSE [{_choose("k", TYPES)}, {_choose("k + user_id", TYPES)}] END AS x FROM e)
 , s AS (SELECT 'e' || user_id AS episode_id, list(DISTINCT {_choose("user_id + event_id % 3", TYPES)}) AS t FROM e GROUP BY user_id), m AS (SELECT episode_id, len(list_filter(x, lambda y: NOT list_contains(t, y))) = 0 AS met FROM w JOIN s USING (episode_id))
 SELECT episode_id, count(*) AS obligations, count_if(NOT met)::BIGINT AS missing, round((count(*) - count_if(NOT met)) / count(*), 6) AS completeness FROM m GROUP BY episode_id""",
     "step_graphs": """WITH RECURSIVE s AS (SELECT l_orderkey AS e, l_linenumber AS n, count(*) AS c, min(CASE l_partkey % 2 WHEN 0 THEN 'CALL' ELSE 'EMIT_OUTPUT' END) AS op FROM lineitem GROUP BY ALL)

@@ -94,7 +94,7 @@ def required_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     name = F.element_at(F.array(*map(F.lit, ("build", "lint", "tests", "docs", "Build"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     conclusion = F.when(F.col("l_suppkey") % 4 == 0, "failure").when(F.col("l_suppkey") % 4 == 1, None).otherwise("Success")
-    seen = table(spark, sf_dir, "lineitem").where("l_linenumber < 6").select(F.col("l_orderkey").alias("head"), name.alias("name"), conclusion.alias("conclusion"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("head"), name.alias("name"), conclusion.alias("conclusion"))
     return governance.required_checks(o.select(F.col("o_orderkey").alias("head")), REQUIRED, seen)
 
 
@@ -146,7 +146,7 @@ SELECT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT pack_id, 'f' || doc_i
 SELECT change_id, 'claim_exists' AS "check" FROM j WHERE claim_ts IS NULL UNION ALL SELECT change_id, 'after_assertion' FROM j WHERE ts < claim_ts UNION ALL SELECT change_id, 'prior_mismatch' FROM j WHERE prior <> expected UNION ALL SELECT change_id, 'retracted_terminal' FROM j WHERE expected = 'RETRACTED'""",
     "duplicate_contradictions": """WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS contradiction_id, min(l_partkey) % 40 AS claim_a, min(l_suppkey) AS claim_b, l_orderkey * 10 + l_linenumber AS line_no FROM lineitem GROUP BY l_orderkey, l_linenumber)
 SELECT contradiction_id, claim_a, claim_b FROM (SELECT *, row_number() OVER (PARTITION BY claim_a, claim_b ORDER BY line_no) AS nth FROM c WHERE line_no % 3 <> 1) WHERE nth > 1""",
-    "required_checks": """WITH s AS (SELECT l_orderkey AS head, ['build', 'lint', 'tests', 'docs', 'Build'][(l_partkey % 5 + 1)::INT] AS name, l_suppkey % 4 AS c FROM lineitem WHERE l_linenumber < 6), g AS (SELECT head, name, count_if(c <> 1) AS done, count_if(c = 0) AS bad FROM s GROUP BY ALL), w AS (SELECT o_orderkey AS head, unnest(['build', 'lint', 'tests']) AS name FROM orders)
+    "required_checks": """WITH s AS (SELECT l_orderkey AS head, ['build', 'lint', 'tests', 'docs', 'Build'][(l_partkey % 5 + 1)::INT] AS name, l_suppkey % 4 AS c FROM lineitem), g AS (SELECT head, name, count_if(c <> 1) AS done, count_if(c = 0) AS bad FROM s GROUP BY ALL), w AS (SELECT o_orderkey AS head, unnest(['build', 'lint', 'tests']) AS name FROM orders)
 SELECT w.head, w.name, CASE WHEN done IS NULL THEN CASE WHEN w.head IN (SELECT head FROM s) THEN 'NAME_MISMATCH_POSSIBLE' ELSE 'NOT_OBSERVED_YET' END WHEN done = 0 THEN 'OBSERVED_PENDING' WHEN bad > 0 THEN 'OBSERVED_FAIL' ELSE 'OBSERVED_PASS' END AS status FROM w LEFT JOIN g USING (head, name)""",
     "newest_traces": sql("\nSELECT trace_id, count(*) AS receipts, max(seq) AS last_seq FROM receipts GROUP BY trace_id ORDER BY last_seq DESC LIMIT 20"),
     "previous_pack": "SELECT o_orderkey AS pack_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders",
