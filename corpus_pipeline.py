@@ -45,20 +45,12 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return first.select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
-def whole_characters(column: str):
-    """The UTF-8 text of bytes, without the parts of characters that a cut has left."""
-    letters = F.decode(F.col(column), "ISO-8859-1")
-    whole = r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}"
-    return F.decode(F.encode(F.regexp_replace(letters, f"({whole})|[\x80-\xFF]", "$1"), "ISO-8859-1"), "UTF-8")
-
-
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays, without the bytes of strings that repeat; characters cut in two go whole."""
     found = suffixes.repeated(docs.select(*COLUMNS), carry=["lang", "source", "n_chars"])
-    text = F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")
     changed = F.size("low") > 0
-    cut = found.withColumn("text", F.when(changed, text).otherwise(F.col("kept").cast("string")))
-    return cut.select("doc_id", "text", "lang", "source", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    length = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

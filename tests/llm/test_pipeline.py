@@ -53,10 +53,3 @@ def test_empty_table(spark, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = write(stage(spark, docs, DIR), tmp_path, f"empty{k}")
         assert docs.count() == 0, name
-
-
-def test_whole_characters(spark):
-    raw = "aé漢😀b".encode()
-    cuts = [(raw[i:j],) for i in range(len(raw)) for j in range(i, len(raw) + 1)]
-    for r in spark.createDataFrame(cuts, "raw binary").select("raw", corpus_pipeline.whole_characters("raw").alias("t")).collect():
-        assert r.t == bytes(r.raw).decode("utf-8", "ignore")

@@ -84,6 +84,10 @@ def test_against_brute_force(spark):
     diff = [(a, b) for a, b in zip(sorted(map(shape, got), key=repr), want, strict=True) if a != b]
     assert not diff, diff[:5]
     kept = suffixes.repeated(docs).collect()
+    for r in kept:
+        raw = next((x[1] or "").encode() for x in rows if x[0] == r.doc_id)
+        parts = [raw[a:b] for a, b in zip([0, *r.high], [*r.low, len(raw)], strict=True)]
+        assert r.kept_text == "".join(p.decode("utf-8", "ignore") for p in parts)
     assert sorted((r.kept_sha256 for r in kept)) == sorted(hashlib.sha256(r.kept).hexdigest() for r in kept) and sorted(map(shape, kept), key=repr) == want
 
 

@@ -360,13 +360,14 @@ def without(ranges: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int,
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, carry: list[str] = ()) -> DataFrame:
-    """(id, n_bytes, low, high, kept, kept_sha256, *carry) of every row: the maximal runs of bytes
-    [low, high) that lie in a string of LENGTH bytes which also starts elsewhere, and the rest.
+    """(id, n_bytes, low, high, kept, kept_sha256, kept_text, *carry) of every row: the maximal runs of
+    bytes [low, high) that lie in a string of LENGTH bytes which also starts elsewhere, and the rest;
+    kept_text is the rest as text, without the parts of characters that a run's end has cut.
 
     Null texts count as empty; texts shorter than LENGTH lose nothing. Repeated rows are texts of
     their own, so they lose all bytes if long enough. Texts are read whole, in memory in proportion to
     them. Rows with a null id are treated like others. Without ``keep_text``, kept is null where
-    nothing is removed (kept_sha256 always stands). Strings are judged on the input.
+    nothing is removed and kept_text is null (kept_sha256 always stands). Strings are judged on the input.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -444,7 +445,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     def cut():
         def work(ids, sizes, raws, shas, spans, *rest):
-            out = {k: [] for k in ("id", "n_bytes", "low", "high", "kept", "kept_sha256")}
+            out = {k: [] for k in ("id", "n_bytes", "low", "high", "kept", "kept_sha256", "kept_text")}
             for i, size, raw, sha, found in zip(ids, sizes, raws, shas, spans, strict=True):
                 low, high = [], []
                 for a, n in ((code >> 20, code & 0xFFFFF) for code in found or []):
@@ -453,8 +454,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                     else:
                         low.append(a)
                         high.append(a + n)
-                kept = None if raw is None else b"".join(raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True))
-                for key, v in zip(out, (i, size, low, high, kept if low or keep_text else None, sha if sha and not low else hashlib.sha256(kept).hexdigest()), strict=True):
+                parts = [] if raw is None else [raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True)]
+                kept = None if raw is None else b"".join(parts)
+                text = "".join([p.decode("utf-8", "ignore") for p in parts]) if keep_text else None
+                for key, v in zip(out, (i, size, low, high, kept if low or keep_text else None, sha if sha and not low else hashlib.sha256(kept).hexdigest(), text), strict=True):
                     out[key].append(v)
             return out | dict(zip(carried, rest, strict=True))
 
@@ -462,9 +465,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     kinds = dict(base.dtypes)
     more = "".join(f", {c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in carried)
-    ddl = "id long, n_bytes long, low array<long>, high array<long>, kept binary, kept_sha256 string" + more
+    ddl = "id long, n_bytes long, low array<long>, high array<long>, kept binary, kept_sha256 string, kept_text string" + more
     touched = map_rows(some.join(spans, ["k", "size"], "left"), ["id", "size", "raw", "sha", "spans", *carried], ddl, cut, rows=200)
     none = F.array().cast("array<long>")
-    clean = base.where(~held).select("id", F.col("size").alias("n_bytes"), none.alias("low"), none.alias("high"), F.col("raw").alias("kept"), F.col("sha").alias("kept_sha256"), *carried)
+    clean = base.where(~held).select("id", F.col("size").alias("n_bytes"), none.alias("low"), none.alias("high"), F.col("raw").alias("kept"), F.col("sha").alias("kept_sha256"), (F.col("raw") if keep_text else F.lit(None)).cast("string").alias("kept_text"), *carried)
     named = {"id": id_col} | dict(zip(carried, carry, strict=True))
     return touched.union(clean).withColumnsRenamed(named)
