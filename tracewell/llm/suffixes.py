@@ -416,7 +416,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         return work
 
     decided = stage(map_rows(placed.where("a <= b"), placed.columns, "k long, size long, p long, gram long, a int, b int, sure_low array<int>, sure_high array<int>, open_low array<int>, open_high array<int>", split), "decided")
-    span = decided.where("size(open_low) > 0").groupBy("gram").agg(F.min(F.array_min("open_low")).alias("from"), F.max(F.array_max("open_high")).alias("to"))
+    # written, so that the planner knows its size before it chooses the join
+    span = stage(decided.where("size(open_low) > 0").groupBy("gram").agg(F.min(F.array_min("open_low")).alias("from"), F.max(F.array_max("open_high")).alias("to")), "spans")
     watched = decided.join(span, "gram").select("k", "size", "p", F.greatest("a", "from").alias("a"), F.least("b", "to").alias("b"), "open_low", "open_high").where("a <= b")
     questions = watched.select("k", "size", packed("p", "b", "a").alias("ask"), F.lit(None).cast("long").alias("open"))
     ranges = watched.select("k", "size", "p", F.explode(F.arrays_zip(F.col("open_low").alias("x"), F.col("open_high").alias("y"))).alias("z"))
