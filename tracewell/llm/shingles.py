@@ -5,13 +5,18 @@ sorted together; documents whose prefixes agree longest stand side by side. Neig
 share a prefix are candidates; in a region with many members the prefix is followed deeper,
 along the branch that holds most, to the member that stands for the region at each depth.
 Candidates with similar signatures are confirmed on their full shingle sets.
+
+Rows that share a tree's first hashes (``meeting`` of them) are all compared: in pairs where
+they are few, and else, where not yet linked, block by block on their full shingle sets.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,6 +33,10 @@ WORDS, TREES, DEPTH, LEAST = 5, 20, 7, 2
 #: Candidates whose signatures agree in a smaller share of their hashes than the threshold less this are not confirmed.
 #: With 140 hashes that is over four standard errors.
 SLACK = 0.14
+#: A pair at the threshold meets in no tree with this probability at most.
+MISSED = 0.001
+#: Rows of a region whose pairs are listed, and rows (of BLOCK_SHINGLES / BLOCK shingles) of a block where they are more.
+FEW, BLOCK, BLOCK_SHINGLES = 8, 512, 512 * 1024
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 HASHES = TREES * DEPTH
 _rng = np.random.default_rng(20_011)
@@ -133,9 +142,15 @@ def stands_for(gap: np.ndarray, lo: int, hi: int, depth: int) -> dict[int, set[i
     return out
 
 
-def neighbours(forest: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the forest's rows (order binary, id), which come sorted."""
-    ddl = "a long, b long, part int, edge binary"
+def meeting(percent: int) -> int:
+    """The most leading hashes at which a pair at the threshold still meets in one of the trees."""
+    return max([d for d in range(LEAST, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= MISSED], default=LEAST)
+
+
+def neighbours(forest: DataFrame, meet: int) -> DataFrame:
+    """Candidate pairs (a, b) of the forest's rows (order binary, id), which come sorted, and
+    (a, region) of the rows of regions of ``meet`` hashes that are large or lie at a partition's border."""
+    ddl = "a long, b long, part int, edge binary, region binary"
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -155,12 +170,20 @@ def neighbours(forest: DataFrame) -> DataFrame:
             if hi - lo > 2:
                 for row, heads in stands_for(gap, lo, hi, LEAST).items():
                     pairs.update((int(ids[row]), int(ids[h])) for h in heads if h != row)
+        members = []
+        bounds = np.concatenate([[0], np.flatnonzero(gap < meet) + 1, [n]])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if hi - lo > FEW or lo == 0 or hi == n:
+                region = keys[lo, : meet + 1].tobytes()
+                members += [(int(i), None, None, None, region) for i in ids[lo:hi]]
+            elif hi - lo > 2:
+                pairs.update(combinations(ids[lo:hi].tolist(), 2))
         pairs = {(min(p), max(p)) for p in pairs}
         # the first and last row of each partition, so that neighbours across borders are seen too
-        ends = [(int(ids[i]), None, part, struct.pack(">B", i > 0) + keys[i].tobytes()) for i in (0, n - 1)]
-        rows = [(a, b, None, None) for a, b in sorted(pairs)] + ends
+        ends = [(int(ids[i]), None, part, struct.pack(">B", i > 0) + keys[i].tobytes(), None) for i in (0, n - 1)]
+        rows = [(a, b, None, None, None) for a, b in sorted(pairs)] + ends + members
         for at in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows[at : at + 50_000]] for i, k in enumerate(("a", "b", "part", "edge"))}, schema=arrow_schema(ddl))
+            yield pa.RecordBatch.from_pydict({k: [r[i] for r in rows[at : at + 50_000]] for i, k in enumerate(("a", "b", "part", "edge", "region"))}, schema=arrow_schema(ddl))
 
     return forest.mapInArrow(run, ddl)
 
@@ -217,6 +240,65 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(both, ["a", "b", "sa", "sb"], "a long, b long", start, rows=100)
 
 
+def link_block(ids: list[int], near: list[int], sets: list[bytes], right: int, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect rows whose ``near`` differs: rows before ``right`` with those from there on,
+    or all rows with each other if ``right`` is 0. The full sets of every such pair are compared."""
+    sizes = np.array([len(s) // 8 for s in sets])
+    _, local = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    local, starts = local.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(local.max()) + 1, np.uint8)
+    parent = {c: c for c in near}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for x in range(right or len(ids) - 1):
+        y = right or x + 1
+        own = local[starts[x] : starts[x + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[local[starts[y] :]], starts[y:-1] - starts[y], dtype=np.int64)
+        mark[own] = 0
+        for k in np.flatnonzero(100 * both >= percent * (sizes[x] + sizes[y:] - both)).tolist():
+            a, b = root(near[x]), root(near[y + k])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(ids[x], ids[y + k]), max(ids[x], ids[y + k])))
+    return out
+
+
+def link_regions(members: DataFrame, near: DataFrame, signatures: DataFrame, shingle_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+    """Links (a, b) that join rows of one region (id, region) whose components differ; None if no region
+    holds two components. All rows of a region are compared, but for those of its largest component with each
+    other: each two blocks of its rows in a group of their own, which gives fewer links than it has rows."""
+    sizes = signatures.select("id", F.col("n_shingles").alias("n"))
+    rows = stage(members.join(near.select("id", "component"), "id", "left").join(sizes, "id").select("id", "region", "n", F.coalesce("component", "id").alias("near")), "members")
+    parts = rows.groupBy("region", "near").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    regions = parts.groupBy("region").agg(F.count("*").alias("parts"), F.sum("rows").alias("all_rows"), F.sum("n").alias("all_n"), F.max(F.struct("rows", "n", "near")).alias("main"))
+    blocks = lambda rows, n: F.ceil(F.greatest(rows / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    regions = regions.where("parts > 1").select("region", F.col("main.near").alias("main"), blocks(F.col("all_rows") - F.col("main.rows"), F.col("all_n") - F.col("main.n")).alias("others"), blocks(F.col("main.rows"), F.col("main.n")).alias("mains"))
+    regions = stage(regions, "regions")
+    if regions.isEmpty():
+        return None
+    placed = rows.join(regions, "region").withColumn("block", F.when(F.col("near") == F.col("main"), F.col("others") + F.expr("pmod(xxhash64(id), mains)")).otherwise(F.expr("pmod(xxhash64(id), others)")).cast("int"))
+    met = F.explode(F.expr("sequence(0, others + if(near = main, 0, mains) - 1)"))
+    tasks = placed.withColumn("other", met).select("id", "near", "block", "region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    tasks = stage(tasks, "tasks")
+    sets = shingle_sets(tasks.select("id").distinct())
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "id"])
+        one, right = rows["low"].iat[0] == rows["high"].iat[0], int((rows["block"] == rows["low"]).sum())
+        if not one and right in (0, len(rows)):  # a block without rows
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = link_block(rows["id"].tolist(), rows["near"].tolist(), rows["shingles"].tolist(), 0 if one else right, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return tasks.join(sets, "id").groupBy("region", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -227,15 +309,15 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     null id links with nothing. Equal sets are one class, so copies are never paired.
 
     First each class is confirmed with its most similar candidate; then only candidates
-    that lie in different components are.
+    that lie in different components are, and what still differs in large regions.
     """
     spark = docs.sparkSession
     small_batches(spark)
     described = stage(describe(docs, id_col, text_col), "signatures")
     usable = described.where("key is not null and id is not null")
     classes = stage(usable.groupBy("key").agg(F.min("id").alias("id")).select("id", "key"), "classes")
-    members = usable.select("id", "key", "signature").join(classes.select(F.col("id").alias("rep"), "key"), "key")
-    signatures = stage(members.where("id = rep").select("id", "signature").groupBy("id").agg(F.first("signature").alias("signature")), "distinct")
+    members = usable.select("id", "n_shingles", "key", "signature").join(classes.select(F.col("id").alias("rep"), "key"), "key")
+    signatures = stage(members.where("id = rep").select("id", "n_shingles", "signature").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "distinct")
 
     def start():
         def work(ids, raw):
@@ -250,8 +332,8 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
 
     forest = map_rows(signatures, ["id", "signature"], "order binary, id long", start)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = stage(neighbours(forest.repartitionByRange(parts, "order", "id").sortWithinPartitions("order", "id")), "neighbours")
-    pairs = found.where("part is null").select("a", "b").union(spark.createDataFrame(across(found), "a long, b long")).distinct()
+    found = stage(neighbours(forest.repartitionByRange(parts, "order", "id").sortWithinPartitions("order", "id"), meeting(percent)), "neighbours")
+    pairs = found.where("b is not null").select("a", "b").union(spark.createDataFrame(across(found), "a long, b long")).distinct()
     candidates = stage(similar(pairs, signatures, percent / 100 - SLACK), "candidates")
     involved = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
 
@@ -263,8 +345,11 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
 
         return work
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
-    sets = stage(map_rows(texts, ["id", "text"], "id long, shingles binary", shingle, rows=200).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
+    def shingle_sets(ids: DataFrame) -> DataFrame:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+        return stage(map_rows(texts, ["id", "text"], "id long, shingles binary", shingle, rows=200).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
+
+    sets = shingle_sets(involved)
     ends = candidates.select("a", "b", "share").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b"))
     first = stage(confirm(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "links")
@@ -273,6 +358,12 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     rest = candidates.join(near.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(near.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb").select("a", "b")
     second = stage(confirm(rest, sets, percent), "links")
     joined = components(vertices, first.union(second))
+    members = found.where("region is not null").select(F.col("a").alias("id"), "region")
+    third = link_regions(members, joined, signatures, shingle_sets, percent)
+    if third is not None:
+        third = stage(third, "links")
+        ends = third.select(F.col("a").alias("id")).union(third.select("b")).union(joined.select("id")).distinct()
+        joined = components(ends, third.union(joined.select("id", "component")))
     placed = classes.select("id", "key").join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = described.select("id", "n_shingles", "key").join(placed, "key", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
