@@ -46,3 +46,25 @@ def test_odd_rows(spark):
     rows[2] = rows[3] = (3, "é ñ x", None, None, None)
     check(rows, sharding.shard(spark.createDataFrame(rows, DDL)).collect(), 24)
     assert sharding.shard(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_many_groups_of_a_part_of_a_shard(spark):
+    rng = np.random.default_rng(8)
+    shards, capacity = 6, 400_000
+    rows, used = [], 0
+    while used < 0.9 * shards * capacity:  # groups of 0.05 to 0.3 shard, some of them three copies
+        size, n = int(rng.uniform(0.05, 0.3) * capacity), 3 if len(rows) % 2 else 1
+        text = f"{len(rows):06d} " * (size // 7 // n)
+        rows += [(len(rows) + i, text, None, None, None) for i in range(n)]
+        used += n * len(text)
+    rows += [(10_000 + i, f"{i:06d} " * 20, None, None, None) for i in range(int((shards * capacity - used) / 150))]
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sharding.shard(spark.createDataFrame(rows, DDL), shards=shards).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    check(rows, got, shards)
+    total = [sum(r["size"] for r in got if r.shard == s) for s in range(shards)]
+    spread = (max(total) - min(total)) * shards / sum(total)
+    assert spread <= 0.05, (round(spread, 3), total)

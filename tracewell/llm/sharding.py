@@ -2,13 +2,17 @@
 
 A group goes whole to the shard where the dot product of its need with the residual capacity
 is highest. Groups of more than half a shard in some dimension (at most a few for each
-shard) are cut into salted parts of measured size and placed first; then every partition of
-the remaining groups packs its own, largest first, into its share of what is left, so that no
-task and no driver sees all groups. Numbers within a shard are prefix sums over partitions.
+shard) are cut into salted parts of measured size and placed first, together with all groups
+above a QUARTERS-th of a partition's share of a shard, whose number is bounded by that of the
+partitions; then every partition of the remaining groups packs its own, largest first, into its
+share of what is left, each beginning at another shard, so that no task and no driver sees all
+groups. Numbers within a shard are prefix sums over partitions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -18,13 +22,19 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, stage
 
 
-def place(needs: np.ndarray, residual: np.ndarray) -> np.ndarray:
-    """The shard of each need, largest first; ``residual`` (shards x dimensions) is used up."""
+#: Groups above a partition's share of a shard, divided by this, are placed before all others.
+QUARTERS = 4
+
+
+def place(needs: np.ndarray, residual: np.ndarray, slack: float = 0) -> np.ndarray:
+    """The shard of each need, largest first; ``residual`` (shards x dimensions) is used up.
+    Of shards that differ by less than ``slack`` x the need itself the first is taken."""
     scale = np.maximum(residual.sum(axis=0), 1e-9)
     shares, left = needs / scale, residual / scale
     chosen = np.zeros(len(needs), np.int32)
     for i in np.argsort(-shares.max(axis=1), kind="stable"):
-        chosen[i] = s = int(np.argmax(left @ shares[i]))
+        fit = left @ shares[i]
+        chosen[i] = s = int(np.argmax(fit >= fit.max() - slack * (shares[i] @ shares[i])))
         left[s] -= shares[i]
     residual[:] = left * scale
     return chosen
@@ -49,14 +59,19 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     capacity = np.array([[float(x or 0) for x in total]] * shards) / shards
     half = [max(x / 2, 1e-9) for x in capacity[0]]
     worst = F.greatest(F.col("bytes") / half[0], F.col("all_tokens") / half[1], F.col("rows") / half[2])
-    large = [r for r in groups.where((worst > 1) & (F.col("rows") > 1)).select("h", "size", "text_crc32", F.ceil(worst * 8).cast("int").alias("salts")).collect()]  # at most 2 for each shard and dimension
     key = "h long, size long, text_crc32 long"
-    salts = spark.createDataFrame([tuple(r) for r in large], f"{key}, salts int")
-    # at most six groups a shard, by the limit above
-    salted = rows.join(F.broadcast(salts), ["h", "size", "text_crc32"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.expr("pmod(xxhash64(id, 'salt'), salts)")))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # at most 3 x QUARTERS for each shard and partition: each takes that part of a shard in some dimension
+    above = sorted(groups.withColumn("worst", worst).where(F.col("worst") * QUARTERS * partitions > 2).select("h", "size", "text_crc32", "bytes", "all_tokens", "rows", "worst").collect())
+    large = [r for r in above if r.worst > 1 and r.rows > 1]  # at most 2 for each shard and dimension
+    whole = [r for r in above if not (r.worst > 1 and r.rows > 1)]
+    known = spark.createDataFrame([(r.h, r["size"], r.text_crc32, math.ceil(r.worst * 8) if r.worst > 1 and r.rows > 1 else None) for r in above], f"{key}, salts int")
+    # as many rows as groups above the limit
+    salted = rows.join(F.broadcast(known.where("salts is not null")), ["h", "size", "text_crc32"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.expr("pmod(xxhash64(id, 'salt'), salts)")))
     parts = salted.where("salt is not null").groupBy("h", "size", "text_crc32", "salt").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("all_tokens"), F.count("*").alias("rows")).orderBy("h", "size", "salt").collect() if large else []
-    first = place(np.array([[p.bytes, p.all_tokens, p.rows] for p in parts], float).reshape(-1, 3), capacity)
-    placed = spark.createDataFrame([(p.h, p["size"], p.text_crc32, p.salt, int(s)) for p, s in zip(parts, first, strict=True)], f"{key}, salt long, shard int")
+    first = place(np.array([[p.bytes, p.all_tokens, p.rows] for p in [*parts, *whole]], float).reshape(-1, 3), capacity).tolist()
+    placed = spark.createDataFrame([(p.h, p["size"], p.text_crc32, p.salt, s) for p, s in zip(parts, first, strict=False)], f"{key}, salt long, shard int")
+    fixed = spark.createDataFrame([(r.h, r["size"], r.text_crc32, s) for r, s in zip(whole, first[len(parts) :], strict=True)], f"{key}, shard int")
     room = np.maximum(capacity, 0)
 
     def pack(batches):
@@ -65,11 +80,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
             table = table.sort_by([("h", "ascending"), ("size", "ascending"), ("text_crc32", "ascending")])  # the same again if the task is run again
             needs = np.stack([table[c].to_numpy() for c in ("bytes", "all_tokens", "rows")], axis=1).astype(float)
             share = needs.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-9)
-            chosen = place(needs, room * share)
+            turn = TaskContext.get().partitionId() % shards
+            chosen = (place(needs, np.roll(room * share, -turn, axis=0), 0.5) + turn).astype(np.int32) % shards
             yield pa.RecordBatch.from_pydict({c: table[c].combine_chunks() for c in ("h", "size", "text_crc32")} | {"shard": chosen}, schema=arrow_schema(f"{key}, shard int"))
 
-    small = groups.join(F.broadcast(salts), ["h", "size", "text_crc32"], "left_anti") if large else groups
-    chosen = small.mapInArrow(pack, f"{key}, shard int")
+    small = groups.join(F.broadcast(known), ["h", "size", "text_crc32"], "left_anti") if above else groups
+    chosen = small.mapInArrow(pack, f"{key}, shard int").union(fixed)
     columns = ["id", "size", "tokens", "text_crc32", "shard"]
     assigned = (salted.where("salt is null") if large else rows).join(chosen, ["h", "size", "text_crc32"]).select(*columns)
     if large:
