@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from tracewell.jobs.text_jobs import claim_transitions
-from tracewell.operators import governance, integrity, policy, textgate
+from tracewell.operators import governance, incidents, integrity, policy, textgate
 from tracewell.sources import receipts
 from tracewell.streaming import streams
 
@@ -148,3 +148,10 @@ def test_changed_spans_are_those_of_difflib(spark):
     for i, a, b in rows:
         want = [(x, y, z, w) for t, x, y, z, w in difflib.SequenceMatcher(a=(a or "").splitlines(), b=(b or "").splitlines(), autojunk=False).get_opcodes() if t != "equal"]
         assert got.get(i, []) == want
+
+
+def test_chains_walk_to_the_root_and_end_in_loops(spark):
+    parents = [("a", f"r{i}", f"r{i - 1}" if i else None) for i in range(14)] + [("b", "x", "y"), ("b", "y", "z"), ("b", "z", "y"), ("b", "lost", "none")]
+    rows = spark.createDataFrame(parents, "pack_id string, receipt_id string, parent_receipt_id string")
+    got = sorted((r.receipt_id, r.step, r.ancestor) for r in incidents.chains(rows, rows.where("receipt_id in ('r13', 'x', 'lost')")).collect())
+    assert got == sorted([("r13", k, f"r{13 - k}") for k in range(14)] + [("x", 0, "x"), ("x", 1, "y"), ("x", 2, "z"), ("lost", 0, "lost")])

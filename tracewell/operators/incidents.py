@@ -35,19 +35,24 @@ def summary(classified: DataFrame, by: list[str]) -> DataFrame:
     return classified.groupBy(*by).agg(F.count("*").alias("events"), F.count_if(F.col("severity") == "critical").alias("critical"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
 
 
-def chains(receipts: DataFrame, starts: DataFrame, by: str = "pack_id", depth: int = 10) -> DataFrame:
-    """(by, receipt_id, step, ancestor): parents of every start, step by step, until one is missing,
-    comes again, or ``depth`` is reached. Only the frontier is joined."""
+def chains(receipts: DataFrame, starts: DataFrame, by: str = "pack_id", depth: int | None = None) -> DataFrame:
+    """(by, receipt_id, step, ancestor): parents of every start, step by step, until one is missing or
+    comes again, or ``depth`` is reached if one is given. Only the frontier is joined."""
     edges = receipts.where("receipt_id <> ''").groupBy(by, "receipt_id").agg(F.max("parent_receipt_id").alias("parent"))
     frontier = starts.select(by, "receipt_id", F.lit(0).alias("step"), F.col("receipt_id").alias("ancestor"), F.array("receipt_id").alias("seen")).distinct()
-    out = frontier
-    for k in range(1, depth + 1):
+    if depth is None:
+        edges, frontier = settle(edges), settle(frontier)
+    out, k = frontier, 0
+    while depth is None or k < depth:
+        k += 1
         up = frontier.join(edges.select(by, F.col("receipt_id").alias("ancestor"), "parent"), [by, "ancestor"])
         known = edges.select(by, F.col("receipt_id").alias("parent"))
         up = up.where("parent <> '' and not array_contains(seen, parent)").join(known, [by, "parent"], "left_semi")
         frontier = up.select(by, "receipt_id", F.lit(k).alias("step"), F.col("parent").alias("ancestor"), F.concat("seen", F.array("parent")).alias("seen"))
-        if k % 4 == 0 and k < depth:  # else every step would walk all those before it again
+        if depth is None or (k % 4 == 0 and k < depth):  # else every step would walk all those before it again
             frontier = settle(frontier)
+        if depth is None and frontier.isEmpty():
+            break
         out = out.union(frontier)
     return out.drop("seen")
 
