@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +75,72 @@ def map_rows(df: DataFrame, columns: list[str], ddl: str, start: Callable[[], Ca
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+_kept: dict[Hashable, object] = {}
+
+
+def kept(name: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks under ``name``. Workers serve one stage after
+    another, so what they kept for another name is freed first, down to the system."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
+class Memory:
+    """Values of strings, bounded: when the younger half is full it becomes the older one, from
+    which what is wanted again moves on, so that frequent strings stay."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.most = most
+
+    def lacks(self, wanted: set[str]) -> list[str]:
+        """What of ``wanted`` is unknown; all the rest is in the younger half now."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        missing, old = wanted.difference(self.young), self.old
+        again = [w for w in missing if w in old]
+        self.young.update(zip(again, map(old.pop, again), strict=True))
+        return list(missing.difference(again))
+
+
+class Rows:
+    """Rows of numbers by string, bounded like a Memory."""
+
+    def __init__(self, shape: tuple[int, ...], dtype, most: int):
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.table, self.old_table, self.most = np.empty((1024, *shape), dtype), np.empty((0, *shape), dtype), most
+
+    def add(self, wanted: set[str], make: Callable[[list[str]], np.ndarray]) -> None:
+        """Every string of ``wanted`` has its row in ``table`` now, at ``young``'s place."""
+        if len(self.young) > self.most:
+            self.old, self.old_table, self.young = self.young, self.table, {}
+            self.table = np.empty((1024, *self.table.shape[1:]), self.table.dtype)
+        missing = wanted.difference(self.young)
+        if not missing:
+            return
+        again = [w for w in missing if w in self.old]
+        new = list(missing.difference(again))
+        n = len(self.young)
+        if n + len(missing) > len(self.table):
+            more = np.empty((max(2 * len(self.table), n + len(missing)), *self.table.shape[1:]), self.table.dtype)
+            more[:n] = self.table[:n]
+            self.table = more
+        if again:
+            self.table[n : n + len(again)] = self.old_table[[self.old[w] for w in again]]
+        if new:
+            self.table[n + len(again) : n + len(missing)] = make(new)
+        self.young.update(zip([*again, *new], range(n, n + len(missing)), strict=True))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows to an Arrow batch, so that a batch of very long texts stays in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
