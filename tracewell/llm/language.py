@@ -9,6 +9,7 @@ bounded sample of labelled texts.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,10 +17,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
+from .common import Rows, kept, map_rows, small_batches
 
-#: Longest piece, and longest part of a word that one forward pass takes; longer words are cut.
-PIECE, SPAN = 8, 48
+#: Steps after which a forward pass is scaled anew; between, no number leaves the range of doubles.
+SCALED = 12
+#: Words of one length that a pass takes together, so that words x letters stays under this.
+CELLS = 1 << 17
 #: Probability of a letter that a language's pieces do not give.
 FLOOR = 1e-6
 #: Texts of each language that are read to fit, about; rounds of fitting.
@@ -39,14 +42,31 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).removeprefix("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if 0 < len(p) <= PIECE and LETTERS.fullmatch(p))
+    return sorted(p for p in found if LETTERS.fullmatch(p))
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Code points of the words, in rows as long as the longest, 0 after a word's end."""
-    width = max(map(len, words))
-    raw = "".join(w.ljust(width, "\0") for w in words)
-    return np.frombuffer(raw.encode("utf-32-le"), "<u4").reshape(len(words), width).astype(np.uint64)
+    """Code points of words of one length, a row for each letter."""
+    raw = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+    return np.ascontiguousarray(raw.T).astype(np.uint64)
+
+
+def longer(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one letter more."""
+    with np.errstate(over="ignore"):
+        out = (hashes ^ letters) * PRIME
+    return out ^ (out >> np.uint64(31))
+
+
+def by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words of each length, so many together that a pass over them is bounded."""
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w), []).append(i)
+    for length, rows in groups.items():
+        step = max(1, CELLS // length)
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step]
 
 
 class Model:
@@ -54,102 +74,116 @@ class Model:
 
     def __init__(self, pieces: list[str], languages: list[str], weights: np.ndarray):
         self.pieces, self.languages, self.weights = pieces, languages, weights
-        hashed = np.array([self._hash(codes([p]))[0] for p in pieces], np.uint64) if pieces else np.zeros(0, np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        index = {p: i for i, p in enumerate(pieces)}
+        starts = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)})
+        hashed = np.zeros(len(starts), np.uint64)
+        for rows in by_length(starts):
+            h = np.zeros(len(rows), np.uint64)
+            for letters in codes([starts[i] for i in rows]):
+                h = longer(h, letters)
+            hashed[rows] = h
         order = np.argsort(hashed)
-        self.hashes, self.order = hashed[order], order
-        self.table = np.vstack([weights, np.zeros(len(languages))]) if len(pieces) else np.zeros((1, len(languages)))
-
-    @staticmethod
-    def _hash(block: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(block), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(block.shape[1]):
-                out = (out ^ block[:, k]) * PRIME
-                out ^= out >> np.uint64(31)
-        return out
-
-    def piece_ids(self, block: np.ndarray, start: int, n: int) -> np.ndarray:
-        """The piece of ``n`` letters at ``start`` of every word, or the last row of the table."""
-        wanted = self._hash(block[:, start : start + n])
-        at = np.minimum(np.searchsorted(self.hashes, wanted), max(len(self.hashes) - 1, 0))
-        if not len(self.hashes):
-            return np.zeros(len(block), np.int64)
-        return np.where(self.hashes[at] == wanted, self.order[at], len(self.pieces))
-
-    def lattice(self, block: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        width = block.shape[1]
-        return {(i, n): self.piece_ids(block, i, n) for i in range(width) for n in range(1, min(PIECE, width - i) + 1)}
+        # what begins a piece, by its hash, and the piece that it is, if any
+        self.hashes, self.piece = hashed[order], np.array([index.get(starts[i], -1) for i in order], np.int64)
+        if not len(order):
+            self.hashes, self.piece = np.zeros(1, np.uint64), np.full(1, -1)
+        self.table = np.vstack([weights, np.full(len(languages), FLOOR)]) if len(pieces) else np.full((1, len(languages)), FLOOR)
+        self.floored = np.where(self.table > 0, self.table, FLOOR)
+
+    def matches(self, block: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(letters, rows, pieces) of all pieces that stand at ``start``. Every word has one of one
+        letter, which is the table's last row if it is no piece."""
+        rows, h = np.arange(block.shape[1]), np.zeros(block.shape[1], np.uint64)
+        for n in range(1, min(self.longest, len(block) - start) + 1):
+            h = longer(h, block[start + n - 1, rows])
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            found = np.where(hit, self.piece[at], -1)
+            if n == 1:
+                yield n, rows, np.where(found >= 0, found, len(self.pieces))
+            elif (own := found >= 0).any():
+                yield n, rows[own], found[own]
+            rows, h = rows[hit], h[hit]
+            if not len(rows):
+                return
 
     def step(self, ids: np.ndarray, n: int) -> np.ndarray:
-        p = self.table[ids]
-        return np.where(p > 0, p, FLOOR) if n == 1 else p
+        return self.floored[ids] if n == 1 else self.table[ids]
 
     def log_words(self, words: list[str]) -> np.ndarray:
-        """Log probability of every word in every language, summed over all segmentations."""
+        """Log probability of every word, however long, in every language, summed over all segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for length, rows in by_length.items():
-            if length > SPAN:
-                for i in rows:
-                    out[i] = self.log_words([words[i][k : k + SPAN] for k in range(0, length, SPAN)]).sum(axis=0)
-                continue
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                block = codes([words[i] for i in part])
-                alpha = np.zeros((length + 1, len(part), len(self.languages)))
-                alpha[0] = 1
-                for end in range(1, length + 1):
-                    for n in range(1, min(PIECE, end) + 1):
-                        ids = self.piece_ids(block, end - n, n)
-                        if n == 1:
-                            alpha[end] += alpha[end - 1] * self.step(ids, 1)
-                        elif (hit := np.flatnonzero(ids < len(self.pieces))).size:
-                            alpha[end, hit] += alpha[end - n, hit] * self.table[ids[hit]]
-                out[part] = np.log(np.maximum(alpha[length], 1e-300))
+        for rows in by_length(words):
+            block = codes([words[i] for i in rows])
+            ahead, scale = np.zeros((self.longest + 1, len(rows), len(self.languages))), np.zeros((len(rows), len(self.languages)))
+            ahead[0] = 1
+            for start in range(len(block)):
+                if start and start % SCALED == 0:
+                    now = ahead[0].copy()
+                    ahead /= now
+                    scale += np.log(now)
+                for n, own, ids in self.matches(block, start):
+                    ahead[n, own] += ahead[0, own] * self.step(ids, n)
+                ahead[:-1] = ahead[1:]
+                ahead[-1] = 0
+            out[rows] = np.log(ahead[0]) + scale
         return out
 
 
 def fit(samples: dict[str, list[str]], pieces: list[str], rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation over all segmentations of the sampled texts' words."""
+    """Expectation maximisation over all segmentations of the sampled texts' words, each whole. Forward
+    and backward numbers are kept as logarithms; what is summed is relative to the place before."""
     languages = sorted(samples)
-    counts = {lang: Counter(w[:SPAN] for t in samples[lang] for w in word_list(t)) for lang in languages}
-    everything = sorted(set().union(*counts.values())) if counts else []
-    known = set(pieces)
-    used = sorted({w[i : i + n] for w in everything for i in range(len(w)) for n in range(1, PIECE + 1) if i + n <= len(w)} & known)
-    if not languages or not used:
+    counts = {lang: Counter(w for t in samples[lang] for w in word_list(t)) for lang in languages}
+    words = sorted(set().union(*counts.values())) if counts else []
+    whole = Model(pieces, languages, np.ones((len(pieces), len(languages))))
+    blocks, seen = [], np.zeros(len(pieces) + 1, bool)
+    for rows in by_length(words):
+        block = codes([words[i] for i in rows])
+        lattice = [[(n, own.astype(np.int32), ids.astype(np.int32)) for n, own, ids in whole.matches(block, start)] for start in range(len(block))]
+        for step in lattice:
+            for _, _, ids in step:
+                seen[ids] = True
+        blocks.append((lattice, np.array([[counts[lang][words[i]] for lang in languages] for i in rows], float)))
+    used = np.flatnonzero(seen[:-1])
+    if not languages or not len(used):
         return Model([], languages, np.zeros((0, len(languages))))
-    model = Model(used, languages, np.full((len(used), len(languages)), 1 / len(used)))
-    by_length: dict[int, list[str]] = {}
-    for w in everything:
-        by_length.setdefault(len(w), []).append(w)
-    blocks = []
-    for words in by_length.values():
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            blocks.append((model.lattice(codes(part)), np.array([[counts[lang][w] for lang in languages] for w in part], float), len(part[0])))
+    table = np.vstack([np.full((len(pieces), len(languages)), 1 / len(used)), np.full(len(languages), FLOOR)])
     for _ in range(rounds):
-        expected = np.zeros_like(model.table)
-        for lattice, weight, length in blocks:
-            alpha, beta = np.zeros((length + 1, len(weight), len(languages))), np.zeros((length + 1, len(weight), len(languages)))
-            alpha[0] = beta[length] = 1
-            steps = {k: model.step(ids, k[1]) for k, ids in lattice.items()}
-            for end in range(1, length + 1):
-                for n in range(1, min(PIECE, end) + 1):
-                    alpha[end] += alpha[end - n] * steps[end - n, n]
+        floored, expected = np.where(table > 0, table, FLOOR), np.zeros_like(table)
+        for lattice, weight in blocks:
+            length, shape = len(lattice), weight.shape
+            reach = min(whole.longest, length)
+            forward, backward = np.zeros((length + 1, *shape)), np.zeros((length + 1, *shape))
+            ahead = np.zeros((reach + 1, *shape))
+            ahead[0] = 1
+            for start, step in enumerate(lattice):
+                forward[start] = np.log(ahead[0]) + (forward[start - 1] if start else 0)
+                ahead /= ahead[0].copy()
+                for n, own, ids in step:
+                    ahead[n, own] += floored[ids] if n == 1 else table[ids]
+                ahead[:-1] = ahead[1:]
+                ahead[-1] = 0
+            total = forward[length - 1] + np.log(ahead[0])
+            after = np.zeros((reach, *shape))
+            after[0] = 1
             for start in range(length - 1, -1, -1):
-                for n in range(1, min(PIECE, length - start) + 1):
-                    beta[start] += steps[start, n] * beta[start + n]
-            share = weight / np.maximum(alpha[length], 1e-300)
-            for (start, n), ids in lattice.items():
-                gain = alpha[start] * steps[start, n] * beta[start + n] * share
-                for k in range(len(languages)):
-                    expected[:, k] += np.bincount(ids, gain[:, k], len(expected))
-        expected[-1] = 0
-        expected[:-1] += 0.01
-        model = Model(used, languages, expected[:-1] / expected[:-1].sum(axis=0))
-    return model
+                now = np.zeros(shape)
+                for n, own, ids in lattice[start]:
+                    now[own] += (floored[ids] if n == 1 else table[ids]) * after[n - 1, own]
+                backward[start] = backward[start + 1] + np.log(now)
+                after[1:] = after[:-1] / now
+                after[0] = 1
+            for start, step in enumerate(lattice):
+                for n, own, ids in step:
+                    p = floored[ids] if n == 1 else table[ids]
+                    gain = p * np.exp(forward[start, own] + backward[start + n, own] - total[own]) * weight[own]
+                    for k in range(len(languages)):
+                        expected[:, k] += np.bincount(ids, gain[:, k], len(expected))
+        table[used] = expected[used] + 0.01
+        table[used] /= table[used].sum(axis=0)
+    return Model([pieces[i] for i in used], languages, table[used])
 
 
 def sample(docs: DataFrame, keep: Column, label_col: str, id_col: str, text_col: str, size: int) -> dict[str, list[str]]:
@@ -172,54 +206,43 @@ def sample(docs: DataFrame, keep: Column, label_col: str, id_col: str, text_col:
 class Scorer:
     """Word scores that a Python worker keeps."""
 
-    KEPT = 500_000
+    KEPT = 250_000
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.index = model, np.zeros((0, len(model.languages))), {}
+        self.model, self.rows = model, Rows((len(model.languages),), np.float64, self.KEPT)
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, posterior, mean log probability of a letter) of each text."""
         found = [word_list(t or "") for t in texts]
-        if len(self.index) > self.KEPT:
-            self.index, self.rows = {}, self.rows[:0]
-        new = list({w for words in found for w in words if w not in self.index})
-        if new:
-            self.rows = np.vstack([self.rows, self.model.log_words(new)])
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.rows.add(set().union(*found), self.model.log_words)
         out = []
         for words in found:
             if not words or not self.model.languages:
                 out.append(("und", 0.0, None))
                 continue
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            logs = self.rows[at].sum(axis=0)
+            at = np.fromiter(map(self.rows.young.__getitem__, words), np.int64, len(words))
+            logs = self.rows.table[at].sum(axis=0)
             best = int(logs.argmax())
             p = 1 / np.exp(logs - logs[best]).sum()
             out.append((self.model.languages[best], float(p), float(logs[best] / sum(map(len, words)))))
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, lang_pred, score, fit, *keep) of every row: the likeliest language, its posterior and
     the mean log probability of a letter in it.
 
     Null texts, empty texts and texts without a letter are "und" with score 0, as is every
-    text if nothing was learned; of equal languages the first by name is taken. Very long
-    words are cut into spans, which are scored apart; texts are read whole. Rows that repeat
+    text if nothing was learned; of equal languages the first by name is taken. Words of any
+    length are scored over all their segmentations; texts are read whole. Rows that repeat
     are scored each. One narrow pass; the model is of bounded size and goes with the task.
     """
     small_batches(docs.sparkSession)
-    name = f"{id(model)}-{hash(model.weights.tobytes())}"
+    name = ("language", id(model), hash(model.weights.tobytes()))
     shared = docs.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.weights))
 
     def start():
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(Model(*shared.value))
-        scorer = _scorers[name]
+        scorer = kept(name, lambda: Scorer(Model(*shared.value)))
 
         def work(keys, texts, *rest):
             rows = scorer.texts(texts)
