@@ -3,8 +3,9 @@
 Every text's rolling word k-gram hashes are joined to the positions of the same grams in the
 templates. A hit votes for its diagonal (place in the text minus place in the template);
 neighbouring diagonals, which an added or missing word sets apart, are merged; and a merged
-span is verified by the template grams that it holds. Exact phrases need all grams on one
-diagonal, so that their words stand consecutively.
+span is verified word by word: which words of the template stand in it, how many words it has
+besides, and whether the licence's name stands there unchanged. Of spans that overlap, the one
+with more words of its template stays. Exact phrases need all grams on one diagonal.
 """
 
 from __future__ import annotations
@@ -21,21 +22,43 @@ from .common import map_rows, small_batches
 
 #: Fixed phrases, found only as they stand: label, words.
 BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
-#: Templates, found also with some words changed: label, text.
+#: Templates, found also with some words changed: label, text. What stands in brackets names the licence and
+#: must stand in the text word by word. Sentences of public licences are fixed values.
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("apache-2.0", "licensed under the [apache license version 2 0]"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at [www apache org licenses license 2 0]"),
+    ("gpl-3.0", "licensed under the [gnu general public license version 3]"),
+    ("gpl-2.0", "licensed under the [gnu general public license version 2]"),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license] as published by the free software foundation either [version 3] of the license or at your option any later version"),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the [gnu general public license] as published by the free software foundation either [version 2] of the license or at your option any later version"),
+    ("lgpl-3.0", "licensed under the [gnu lesser general public license version 3]"),
+    ("agpl-3.0", "licensed under the [gnu affero general public license version 3]"),
+    ("cc-by-4.0", "licensed under [cc by 4 0]"),
+    ("cc-by-nc", "licensed under [cc by nc 4 0]"),
+    ("cc-by-sa", "licensed under [cc by sa 4 0]"),
+    ("cc-by-nd", "licensed under [cc by nd 4 0]"),
+    ("cc-by-nc-sa", "licensed under [cc by nc sa 4 0]"),
+    ("cc-by-nc-nd", "licensed under [cc by nc nd 4 0]"),
+    ("cc-by-4.0", "this work is licensed under a [creative commons attribution 4 0] international license"),
+    ("cc-by-nc", "this work is licensed under a [creative commons attribution noncommercial 4 0] international license"),
+    ("cc-by-sa", "this work is licensed under a [creative commons attribution sharealike 4 0] international license"),
+    ("cc-by-nd", "this work is licensed under a [creative commons attribution noderivatives 4 0] international license"),
+    ("cc-by-nc-sa", "this work is licensed under a [creative commons attribution noncommercial sharealike 4 0] international license"),
+    ("cc-by-nc-nd", "this work is licensed under a [creative commons attribution noncommercial noderivatives 4 0] international license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "released under the [mit license]"),
+    ("mit", "licensed under the [mit license]"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "this source code form is subject to the terms of the [mozilla public license v 2 0]"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("no-copying", "no part of this publication may be reproduced or transmitted in any form or by any means"),
 ]
 #: Words in a gram; the shortest phrase has two.
 K = 2
-#: Share of a template's grams that a span must hold, and the distance of diagonals that merge.
+#: Words that a span must share with its template, of the longer of the two, and the distance of diagonals that merge.
 COVER, NEAR = 0.8, 2
 #: Stands for the row itself in the join, so that texts without hits stay.
 ROW = 0
@@ -83,11 +106,24 @@ def hashes() -> Hashes:
     return Hashes()
 
 
+def parsed(text: str) -> tuple[str, list[int]]:
+    """A template's words, and for each bracket the bits of its grams."""
+    plain, names, at = [], [], None
+    for word in text.replace("[", " [ ").replace("]", " ] ").split():
+        if word == "[":
+            at = len(plain)
+        elif word == "]":
+            names.append(sum(1 << p for p in range(at, len(plain) - K + 1)))
+        else:
+            plain.append(word)
+    return " ".join(plain), names
+
+
 def template_rows(base: list, templates: list) -> list[tuple[int, int, int]]:
     """(gram, template, place) of all templates, and the row that stands for a text."""
     out = [(ROW, -1, 0)]
     for t, (_, text) in enumerate([*base, *templates]):
-        for place, gram in enumerate(grams(Hashes().of(words(text))).tolist()):
+        for place, gram in enumerate(grams(Hashes().of(words(parsed(text)[0]))).tolist()):
             out.append((gram, t, place))
     return out
 
@@ -95,10 +131,10 @@ def template_rows(base: list, templates: list) -> list[tuple[int, int, int]]:
 def scan(docs: DataFrame, base: list = BASE, templates: list = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, spans) of every row, with spans a list of (label, exact, first, last, cover):
     label of the template, whether it is a fixed phrase, first and last word (from 0) and the
-    share of the template's grams found.
+    words shared with the template, as a share of the longer of the two.
 
     Null and empty texts have no words and no spans. Rows that repeat, or share an id, are
-    scanned each. Templates must have K words; at most 62 grams of each count for the cover.
+    scanned each. Templates must have K to 62 words.
     Only the templates (a fixed list) are broadcast; a text's hits alone are gathered.
     """
     spark = docs.sparkSession
@@ -127,22 +163,23 @@ def scan(docs: DataFrame, base: list = BASE, templates: list = TEMPLATES, id_col
         .agg(F.expr("bit_or(shiftleft(1L, least(place, 62)))").alias("places"))
     )
     per_row = votes.groupBy("row", "id", "n_words").agg(F.sort_array(F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "diagonal", "places")))).alias("hits"))
-    labels = [*[(label, len(words(t)), True) for label, t in base], *[(label, len(words(t)), False) for label, t in templates]]
+    labels = [(label, len(words(parsed(t)[0])), exact, parsed(t)[1]) for exact, kind in ((True, base), (False, templates)) for label, t in kind]
 
     def merge():
         def spans(hits):
-            out, island = [], []
+            out, found, island = [], [], []
 
             def close():
-                label, n, exact = labels[island[0][0]]
-                seen = 0
-                for _, _, m in island:
-                    seen |= m
-                need = min(n - K + 1, 63)
+                label, n, exact, names = labels[island[0][0]]
+                shared = {w for _, _, m in island for p in range(63) if m >> p & 1 for w in (p, p + K - 1)}
                 at = [d + p for _, d, m in island for p in range(63) if m >> p & 1]
-                cover = bin(seen).count("1") / need
-                if cover >= (1 if exact else COVER):
-                    out.append((label, exact, min(at), max(at) + K - 1, cover))
+                first, last = min(at), max(at) + K - 1
+                cover = len(shared) / max(n, last - first + 1)
+                if exact:
+                    if len(shared) == n:
+                        out.append((label, exact, first, last, cover))
+                elif cover >= COVER and all(any(m & name == name for _, _, m in island) for name in names):
+                    found.append((-len(shared), -cover, first, last, label))
 
             for t, d, m in hits:
                 if island and (t != island[0][0] or labels[t][2] or d - island[-1][1] > NEAR):
@@ -151,6 +188,11 @@ def scan(docs: DataFrame, base: list = BASE, templates: list = TEMPLATES, id_col
                 island.append((t, d, m))
             if island:
                 close()
+            taken = []
+            for _, cover, first, last, label in sorted(found):
+                if all(last < a or b < first for a, b in taken):
+                    taken.append((first, last))
+                    out.append((label, False, first, last, -cover))
             return out
 
         def work(ids, n, hits):
