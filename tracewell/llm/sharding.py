@@ -24,6 +24,9 @@ from .common import arrow_schema, stage
 
 #: Groups above a partition's share of a shard, divided by this, are placed before all others.
 QUARTERS = 4
+#: Swaps by which a placement is evened out at most, the pairs of shards that are tried for each, the least groups of
+#: a shard that are looked at, and groups for each shard from which small ones fill up what large ones leave.
+ROUNDS, PAIRS, SWAPPED, MANY = 400, 60, 128, 100
 
 
 def place(needs: np.ndarray, residual: np.ndarray, slack: float = 0) -> np.ndarray:
@@ -40,6 +43,36 @@ def place(needs: np.ndarray, residual: np.ndarray, slack: float = 0) -> np.ndarr
     return chosen
 
 
+def even_out(needs: np.ndarray, chosen: np.ndarray, residual: np.ndarray) -> None:
+    """Moves a group, or swaps two, between two shards that differ much, as long as such two come
+    closer in all dimensions together. Works on ``chosen`` and ``residual``."""
+    scale = np.maximum(needs.sum(axis=0), 1e-9)
+    shares, left = needs / scale, residual / scale
+    for _ in range(ROUNDS if len(needs) else 0):
+        apart = ((left[:, None] - left[None]) ** 2).sum(axis=2)
+        for pair in np.argsort(-apart, axis=None, kind="stable")[:PAIRS].tolist():
+            full, empty = divmod(pair, len(left))
+            gap = left[empty] - left[full]
+            give, take = (np.flatnonzero(chosen == s) for s in (full, empty))
+            give, take = (x[np.argsort(shares[x].max(axis=1), kind="stable")[:SWAPPED]] for x in (give, take))
+            if not len(give):
+                continue
+            back = np.concatenate([np.zeros((1, shares.shape[1])), shares[take]])
+            moved = shares[give][:, None] - back[None]
+            after = ((gap - 2 * moved) ** 2).sum(axis=2)
+            i, j = np.unravel_index(int(after.argmin()), after.shape)
+            if after[i, j] < apart[full, empty] * (1 - 1e-6):
+                break
+        else:
+            break
+        left[full] += moved[i, j]
+        left[empty] -= moved[i, j]
+        chosen[give[i]] = empty
+        if j:
+            chosen[take[j - 1]] = full
+    residual[:] = left * scale
+
+
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, tokens, text_crc32, shard, slot) of every row.
 
@@ -69,19 +102,27 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     # as many rows as groups above the limit
     salted = rows.join(F.broadcast(known.where("salts is not null")), ["h", "size", "text_crc32"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.expr("pmod(xxhash64(id, 'salt'), salts)")))
     parts = salted.where("salt is not null").groupBy("h", "size", "text_crc32", "salt").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("all_tokens"), F.count("*").alias("rows")).orderBy("h", "size", "salt").collect() if large else []
-    first = place(np.array([[p.bytes, p.all_tokens, p.rows] for p in [*parts, *whole]], float).reshape(-1, 3), capacity).tolist()
+    needs = np.array([[p.bytes, p.all_tokens, p.rows] for p in [*parts, *whole]], float).reshape(-1, 3)
+    first = place(needs, capacity)
+    even_out(needs, first, capacity)
+    first = first.tolist()
     placed = spark.createDataFrame([(p.h, p["size"], p.text_crc32, p.salt, s) for p, s in zip(parts, first, strict=False)], f"{key}, salt long, shard int")
     fixed = spark.createDataFrame([(r.h, r["size"], r.text_crc32, s) for r, s in zip(whole, first[len(parts) :], strict=True)], f"{key}, shard int")
     room = np.maximum(capacity, 0)
 
     def pack(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches)
             table = table.sort_by([("h", "ascending"), ("size", "ascending"), ("text_crc32", "ascending")])  # the same again if the task is run again
             needs = np.stack([table[c].to_numpy() for c in ("bytes", "all_tokens", "rows")], axis=1).astype(float)
             share = needs.sum(axis=0) / np.maximum(room.sum(axis=0), 1e-9)
             turn = TaskContext.get().partitionId() % shards
-            chosen = (place(needs, np.roll(room * share, -turn, axis=0), 0.5) + turn).astype(np.int32) % shards
+            own = np.roll(room * share, -turn, axis=0)
+            chosen = place(needs, own, 0.5)
+            if len(needs) < MANY * shards:
+                even_out(needs, chosen, own)
+            chosen = (chosen + turn).astype(np.int32) % shards
             yield pa.RecordBatch.from_pydict({c: table[c].combine_chunks() for c in ("h", "size", "text_crc32")} | {"shard": chosen}, schema=arrow_schema(f"{key}, shard int"))
 
     small = groups.join(F.broadcast(known), ["h", "size", "text_crc32"], "left_anti") if above else groups
