@@ -3,7 +3,8 @@
 A vector is described by its nearest pivots in order. Inverted lists hold, for each pivot, the
 vectors that name it; two vectors of one list are candidates if they share enough pivots,
 and are met in the list of the first pivot that they share, once. Candidates are verified by
-cosine in double precision. Equal vectors are one class with a count.
+cosine in double precision. Equal vectors are one class with a count. A list that is long is
+split by the second pivot that two vectors share, so that lists stay short as the table grows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 from .common import components, map_rows, stage
 
 #: Vectors that pivots are drawn from, least and greatest number of pivots, nearest pivots kept, pivots that candidates share.
-SAMPLE, LEAST, MOST, NEAREST, SHARED = 8192, 128, 1024, 10, 3
+SAMPLE, LEAST, MOST, NEAREST, SHARED = 8192, 128, 2048, 10, 3
 #: Pivots are no closer to each other than this cosine, so that a crowd of copies gives one.
 APART = 0.7
 #: Rows of a list that one task compares with as many; longer lists are cut into blocks.
 BLOCK = 2048
+#: Rows of a list from which it is split by the second shared pivot.
+LONG = 16 * BLOCK
 
 
 def usable(vector: str, label: str, key: str):
@@ -56,7 +59,7 @@ def compare(threshold: float, pivots: int, nearest: int, shared: int):
     """Compares the rows of a list's block with those of another, or among themselves."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        pivot, left, right = int(key[2]), int(key[3]), int(key[4])
+        pivot, second, left, right = map(int, key[2:])
         ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         units = np.stack([np.frombuffer(x) for x in rows["unit"]])
         named = np.zeros((len(ids), pivots), np.float32)
@@ -76,6 +79,8 @@ def compare(threshold: float, pivots: int, nearest: int, shared: int):
             candidate = named[part] @ named[other].T >= shared
             if pivot:
                 candidate &= named[part, :pivot] @ named[other, :pivot].T == 0
+            if second > pivot + 1:
+                candidate &= named[part, pivot + 1 : second] @ named[other, pivot + 1 : second].T == 0
             if left == right:
                 candidate &= other[None] > part[:, None]
             a, b = np.nonzero(candidate)
@@ -111,10 +116,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).withColumn("ok", usable("vector", "label", "id"))
     keys = ["label", "h1", "h2"]
     hashed = rows.withColumn("h1", F.when(F.col("ok"), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit(7), F.size("vector"), "vector")))
-    classes = stage(hashed.where("ok").groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
+    grouped = hashed.where("ok").groupBy(*keys).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # written, so that a class keeps its number; an id may have several vectors, so it names no class
+    classes = stage(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
     total = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     width = total[1] or 1
-    sampled = [r.vector for r in classes.orderBy(F.xxhash64("h1", "label"), "rep").select("vector").limit(SAMPLE).collect()]
+    sampled = [r.vector for r in classes.orderBy(F.xxhash64("h1", "label"), "h2").select("vector").limit(SAMPLE).collect()]
     pivots = choose_pivots(unit(sampled, width), min(MOST, max(LEAST, 2 * math.isqrt(total[0])))) if sampled else np.ones((1, 1))
     nearest = min(NEAREST, len(pivots))
     shared = min(SHARED, nearest) if len(pivots) > NEAREST else 1
@@ -124,13 +131,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         places = index.value
 
         def work(reps, labels, copies, raw):
-            out = {k: [] for k in ("rep", "label", "length", "copies", "unit", "pivot", "nearest")}
+            out = {k: [] for k in ("rep", "label", "length", "copies", "unit", "pivot", "later", "nearest")}
             units = unit(raw, width)
             named = np.argsort(-(units @ places.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
             for i, rep in enumerate(reps):
                 body, names = units[i].tobytes(), named[i].tobytes()
-                for p in named[i].tolist():
-                    for k, v in zip(out, (rep, labels[i], len(raw[i]), copies[i], body, p, names), strict=True):
+                pivots_of = sorted(named[i].tolist())
+                for at, p in enumerate(pivots_of, 1):
+                    for k, v in zip(out, (rep, labels[i], len(raw[i]), copies[i], body, p, pivots_of[at:], names), strict=True):
                         out[k].append(v)
             return out
 
@@ -138,14 +146,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     lists = ["label", "length", "pivot"]
     named = classes.select("rep", F.col("label").cast("string").alias("label"), "copies", F.col("vector").cast("array<double>").alias("vector"))
-    posted = stage(map_rows(named, named.columns, "rep long, label string, length int, copies long, unit binary, pivot int, nearest binary", start, rows=500), "lists")
-    sizes = posted.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = posted.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    posted = stage(map_rows(named, named.columns, "rep long, label string, length int, copies long, unit binary, pivot int, later array<int>, nearest binary", start, rows=500), "lists")
+    counted = posted.groupBy(*lists).agg(F.count("*").alias("rows"))
+    long = stage(counted.where(F.col("rows") > (LONG if shared > 1 else 1 << 62)).select(*lists, F.lit(True).alias("split")), "long")
+    marked = posted.join(long, lists, "left").withColumn("second", F.explode(F.when(F.col("split"), F.col("later")).otherwise(F.array(F.lit(-1))))).drop("later", "split")
+    lists = [*lists, "second"]
+    sizes = marked.groupBy(*lists).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = marked.join(sizes, lists).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "with")).withColumn("right", F.greatest("block", "with"))
     found = stage(paired.groupBy(*lists, "left", "right").applyInPandas(compare(threshold, len(pivots), nearest, shared), "rep long, n long, hub long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = components(classes.select(F.col("rep").alias("id")).distinct(), found.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    per_class = classes.select(*keys, "rep", "copies").join(counts, "rep", "left").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    members = stage(classes.select(*keys, "rep", "least", "copies").join(parts.select(F.col("id").alias("rep"), F.col("component").alias("group")), "rep"), "members")
+    per_class = members.join(counts, "rep", "left").join(members.groupBy("group").agg(F.min("least").alias("component")), "group")
     joined = hashed.join(per_class.drop("ok"), keys, "left")
     return joined.select(
         F.col("id").alias(id_col),
