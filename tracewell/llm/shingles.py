@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_rows, small_batches, stage
+from .common import arrow_schema, components, kept, map_rows, small_batches, stage
 
 #: Words in a shingle; trees, hashes in a tree's order, and the shortest shared prefix of candidates.
 WORDS, TREES, DEPTH, LEAST = 5, 20, 7, 2
@@ -55,16 +54,16 @@ class Words:
         found = SPLIT.findall((text or "").encode().lower())
         if not found:
             return np.zeros(0, np.uint64)
-        kept = self.kept
-        if len(kept) > 1_000_000:
-            kept.clear()
+        known = self.kept
+        if len(known) > 700_000:
+            known.clear()
         try:
-            h = np.fromiter(map(kept.__getitem__, found), np.uint64, len(found))
+            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         except KeyError:
             for w in found:
-                if w not in kept:
-                    kept[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(kept.__getitem__, found), np.uint64, len(found))
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         n = min(WORDS, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         with np.errstate(over="ignore"):
@@ -74,9 +73,8 @@ class Words:
         return np.unique(out)
 
 
-@lru_cache(maxsize=1)
 def words() -> Words:
-    return Words()
+    return kept("shingles", Words)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -154,10 +152,11 @@ def neighbours(forest: DataFrame, meet: int) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(list(batches))
-        n = table.num_rows
+        batches = list(batches)
+        n = sum(b.num_rows for b in batches)
         if not n:
             return
+        table = pa.Table.from_batches(batches)
         raw = b"".join(table["order"].to_pylist())
         keys = np.frombuffer(raw, ">u4").reshape(n, DEPTH + 1)
         ids = table["id"].to_numpy()
@@ -305,8 +304,8 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     Texts are linked if 100 x the size of the intersection of their shingle sets is at least
     ``percent`` x that of the union; a component's id is the smallest in it, and that row is
     kept. Null, empty and wordless texts have no shingle, link with nothing and are kept.
-    Repeated rows with one id are one document, and all are kept or not alike. A row with a
-    null id links with nothing. Equal sets are one class, so copies are never paired.
+    Repeated rows are texts of their own, also if one id has several texts; rows with equal sets
+    are kept or not alike if their ids are equal. A row with a null id links with nothing. Equal sets are one class, so copies are never paired.
 
     First each class is confirmed with its most similar candidate; then only candidates
     that lie in different components are, and what still differs in large regions.
@@ -315,9 +314,9 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     small_batches(spark)
     described = stage(describe(docs, id_col, text_col), "signatures")
     usable = described.where("key is not null and id is not null")
-    classes = stage(usable.groupBy("key").agg(F.min("id").alias("id")).select("id", "key"), "classes")
-    members = usable.select("id", "n_shingles", "key", "signature").join(classes.select(F.col("id").alias("rep"), "key"), "key")
-    signatures = stage(members.where("id = rep").select("id", "n_shingles", "signature").groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "distinct")
+    # written, so that a class keeps its number; an id may have several texts, so it names no class
+    grouped = usable.groupBy("key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    signatures = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
 
     def start():
         def work(ids, raw):
@@ -340,14 +339,17 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     def shingle():
         known = words()
 
-        def work(keys, texts):
-            return {"id": keys, "shingles": [known.shingles(t).tobytes() for t in texts]}
+        def work(ids, texts):
+            sets = [known.shingles(t).tobytes() for t in texts]
+            return {"rep": ids, "key": [xxhash.xxh3_128_digest(s) if s else None for s in sets], "shingles": sets}
 
         return work
 
     def shingle_sets(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-        return stage(map_rows(texts, ["id", "text"], "id long, shingles binary", shingle, rows=200).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
+        wanted = stage(signatures.join(ids, "id").select("id", "rep", "key"), "wanted")
+        texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+        made = map_rows(texts, ["rep", "text"], "rep long, key binary, shingles binary", shingle, rows=200)
+        return stage(made.join(wanted, ["rep", "key"]).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
     sets = shingle_sets(involved)
     ends = candidates.select("a", "b", "share").union(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
@@ -364,7 +366,8 @@ def near_texts(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         third = stage(third, "links")
         ends = third.select(F.col("a").alias("id")).union(third.select("b")).union(joined.select("id")).distinct()
         joined = components(ends, third.union(joined.select("id", "component")))
-    placed = classes.select("id", "key").join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    grouped = stage(signatures.select("id", "key", "rep").join(joined, "id", "left").select("key", "rep", F.coalesce("component", "id").alias("group")), "placed")
+    placed = grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group").select("key", "component")
     out = described.select("id", "n_shingles", "key").join(placed, "key", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
