@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import string
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import map_rows, small_batches, stage
+from .common import kept, map_rows, small_batches, stage
 
 #: Strings whose ids a Python worker keeps, and their greatest length.
 KEPT, KEPT_CHARS = 700_000, 48
@@ -71,24 +70,23 @@ class Tokens:
         cut = [self.words(t) if t else [] for t in texts]
         if len(self.kept) > KEPT:
             self.kept.clear()
-        kept = self.kept
+        known = self.kept
         extra, new = {}, []
-        for w in {w for words in cut for w in words if w not in kept}:
+        for w in {w for words in cut for w in words if w not in known}:
             ids = self.word(w) if len(w) <= KEPT_CHARS else None
             if ids is None:
                 new.append(w)
             else:
-                kept[w] = ids
+                known[w] = ids
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (kept if len(w) <= KEPT_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
+            (known if len(w) <= KEPT_CHARS else extra)[w] = np.array(e.ids, "<u4").tobytes()
         if extra:
-            return [b"".join([kept[w] if w in kept else extra[w] for w in words]) for words in cut]
-        return [b"".join([kept[w] for w in words]) for words in cut]
+            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in cut]
+        return [b"".join([known[w] for w in words]) for words in cut]
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return kept(("tokens", path), lambda: Tokens(path))
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
+from .common import Rows, kept, map_rows, small_batches
 
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 48, 32
@@ -174,21 +174,15 @@ def layout(starts: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray,
 class Scorer:
     """The network with the words' gate inputs that a Python worker keeps."""
 
-    KEPT = 300_000
+    KEPT = 150_000
 
     def __init__(self, network: Network):
-        self.network, self.index = network, {}
-        self.gates = np.zeros((0, 2, 3 * STATE), np.float32)
+        self.network, self.rows = network, Rows((2, 3 * STATE), np.float32, self.KEPT)
 
     def window_scores(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, logit) of all windows of the texts."""
-        if len(self.index) > self.KEPT:
-            self.index, self.gates = {}, self.gates[:0]
-        new = list({w for words in lists for w in words if w not in self.index})
-        if new:
-            self.gates = np.concatenate([self.gates, self.network.projected(new)])
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        place = self.index.__getitem__
+        self.rows.add(set().union(*lists), self.network.projected)
+        place, gates = self.rows.young.__getitem__, self.rows.table
         ids = np.fromiter((place(w) for words in lists for w in words), np.int64, sum(map(len, lists)))
         ids = np.append(ids, 0)
         text, first, ends, at = [], [], [], 0
@@ -203,7 +197,7 @@ class Scorer:
         for lo in range(0, len(text), 512):
             places, mask = layout(first[lo : lo + 512], ends[lo : lo + 512], len(ids) - 1)
             types = ids[places]
-            logits[lo : lo + 512] = self.network.run(np.stack([self.gates[types[:, 0], 0], self.gates[types[:, 1], 1]], axis=1), mask)
+            logits[lo : lo + 512] = self.network.run(np.stack([gates[types[:, 0], 0], gates[types[:, 1], 1]], axis=1), mask)
         return text, first, logits
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +307,6 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "to
     return fit([r[1] for r in rows], [r[2] for r in rows], base)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, score, predicted, n_windows, *keep) of every row: the worst window's probability.
 
@@ -324,14 +315,11 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     length whole, 200 rows at a time. One narrow pass; the network's size is bounded.
     """
     small_batches(docs.sparkSession)
-    name = f"{id(network)}-{hash(network.p['word'].tobytes())}"
+    name = ("toxicity", id(network), hash(network.p["word"].tobytes()))
     shared = docs.sparkSession.sparkContext.broadcast((network.words, network.chars, network.p, network.ties, network.base))
 
     def start():
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(Network(*shared.value))
-        scorer = _scorers[name]
+        scorer = kept(name, lambda: Scorer(Network(*shared.value)))
 
         def work(keys, texts, *rest):
             found, n = scorer.texts(texts)
