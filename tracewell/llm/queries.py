@@ -71,7 +71,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated(read(spark, sf_dir, "documents"), keep_text=False)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_bytes", (total("high") - total("low")).alias("n_removed"), F.size("low").cast("long").alias("n_spans"), "kept_sha256", "low", "high")
+    return found.select("doc_id", "n_bytes", (total("high") - total("low")).alias("n_removed"), F.size("low").cast("long").alias("n_spans"), "kept_sha256", (F.size("low") > 0).alias("cut"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,16 @@ once as they read back, and only anchors whose gram occurs twice. Each task sort
 into a run, cuts it at splitters, and sends front-coded pieces (the length of the prefix shared
 with the suffix before, then the rest). A piece's receiver merges its runs with a loser tree
 whose entries carry the prefix shared with the last winner, so that no known prefix is compared
-again. What a suffix shares with its neighbours bounds the strings around its anchor that can
-repeat, and decides most; the few left open are compared as whole strings.
+again. What sorted suffixes share decides which strings around their anchors repeat; suffixes whose
+equals may lie beyond a partition's border are compared as whole strings.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-from bisect import bisect_right
-from functools import lru_cache
+from bisect import bisect_right, insort
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -23,16 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, stage
+from .common import kept, map_rows, small_batches, stage
 
 #: Bytes of a string that is removed if it repeats, and of a gram.
 LENGTH, GRAM = 400, 32
 #: Places of grams in a string.
 PLACES = LENGTH - GRAM + 1
-#: Neighbours on either side that a suffix is matched with.
-NEAR = 4
 #: Keys that are drawn for each receiving partition to set the splitters.
 DRAWN = 40
+#: Keys of one gram that stay in one partition.
+WHOLE = 60_000
 #: Stands after what is compared; no UTF-8 text holds it.
 END = b"\xff"
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -95,6 +95,8 @@ def find_anchors(rows: DataFrame) -> DataFrame:
     """(k, size, gram, anchor): anchors of the rows (k, size, raw), each packed with the starts it stands for."""
 
     def start():
+        kept("suffixes", dict)  # nothing; what other stages kept is freed
+
         def work(keys, sizes, raws):
             ends = np.cumsum([len(r) for r in raws])
             text, lo, hi, p, gram = anchors(b"".join(raws), ends)
@@ -248,42 +250,95 @@ def halves(key: bytes) -> tuple[bytes, bytes]:
     return right, left
 
 
+def partners(rows: list[tuple[bytes, int, int]], gaps: list[int], parts: list[tuple[bytes, bytes]], lo: int, hi: int) -> dict[int, list[tuple[int, int]]]:
+    """For the keys lo..hi-1, which share their gram: the ranges of distances before the anchor at which
+    strings match another key's.
+
+    Keys are joined to sets, those that share most first. When two sets meet, what is before the
+    anchor is compared only with its neighbours in the other set's order: no other member matches
+    more of it, unless it does so with a key that it shares more with. The smaller set goes into
+    the larger, so each key is compared about as often as the logarithm of their number.
+    """
+    order = sorted(range(lo, hi), key=lambda i: parts[i - lo][1])
+    place = {i: k for k, i in enumerate(order)}
+    parent, members = list(range(hi - lo)), [[place[i]] for i in range(lo, hi)]
+    found: dict[int, list[tuple[int, int]]] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for at in sorted(range(lo + 1, hi), key=lambda i: -gaps[i]):
+        small, large = root(at - 1 - lo), root(at - lo)
+        if len(members[small]) > len(members[large]):
+            small, large = large, small
+        into = members[large]
+        new = []
+        for k in members[small]:
+            spot = bisect_right(into, k)
+            i = order[k]
+            right, left = parts[i - lo]
+            for j in ([order[into[spot - 1]]] if spot else []) + ([order[into[spot]]] if spot < len(into) else []):
+                other_right, other_left = parts[j - lo]
+                here = min(gaps[at] - 1, len(right), len(other_right))
+                if here + min(len(left), len(other_left)) >= LENGTH:
+                    there = shared_from(left, other_left, 0)
+                    if here + there >= LENGTH:
+                        for x in (i, j):
+                            found.setdefault(x, []).append((max(0, LENGTH - here), there))
+            new.append(k)
+        members[large] = sorted(into + new) if len(new) > 8 else into
+        if len(new) <= 8:
+            for k in new:
+                insort(into, k)
+        members[small], parent[small] = [], large
+    return found
+
+
 def judge(rows: list[tuple[bytes, int, int]]) -> dict[str, list]:
     """For each sorted key (key, length shared with the one before, count): its identity, whether
-    it stands twice, the longest prefix shared with another, and for keys that read on the ranges of
-    distances before the anchor at which strings match a neighbour's."""
-    out: dict[str, list] = {k: [] for k in ("side", "id", "twice", "best", "low", "high", "edge")}
+    it stands twice, the longest prefix shared with another, for keys that read on the ranges of
+    distances before the anchor at which strings match another's, and the most that keys beyond a
+    partition's border can share from the anchor on."""
+    out: dict[str, list] = {k: [] for k in ("side", "id", "twice", "best", "low", "high", "beyond", "edge")}
     n = len(rows)
     gaps = [s for _, s, _ in rows] + [0]
+    first = next((i for i, r in enumerate(rows) if r[0][:1] == b"R"), n)
+    parts = [halves(r[0]) for r in rows[first:]]
+    found: dict[int, list[tuple[int, int]]] = {}
+    lo = first
+    for hi in range(first + 1, n + 1):
+        if hi == n or gaps[hi] <= GRAM:
+            if hi - lo > 1:
+                found |= partners(rows, gaps, parts[lo - first : hi - first], lo, hi)
+            lo = hi
+    before, after = [0] * (n + 1), [0] * (n + 1)
+    least = 1 << 30
+    for i in range(first, n):
+        least = least if i == 0 else min(least, gaps[i])
+        before[i] = least if first == 0 else 0
+    least = 1 << 30
+    for i in range(n - 1, -1, -1):
+        after[i] = least
+        least = min(least, gaps[i])
     for i, (key, _, count) in enumerate(rows):
         best = max(gaps[i] if i else 0, gaps[i + 1])
-        low, high = [], []
+        low, high, beyond = [], [], 0
         if key[:1] == b"R":
-            right, left = halves(key)
-            if count < 2 and best - 1 + len(left) >= LENGTH:
-                found = []
-                for step in (-1, 1):
-                    common, j = 10**9, i
-                    for _ in range(NEAR):
-                        common = min(common, gaps[j] if step < 0 else gaps[j + 1])
-                        j += step
-                        if not 0 <= j < n or common <= GRAM:
-                            break
-                        other_right, other_left = halves(rows[j][0])
-                        here = min(common - 1, len(right), len(other_right))
-                        there = shared_from(left, other_left, 0)
-                        if here + there >= LENGTH:
-                            found.append((max(0, LENGTH - here), there))
-                for a, b in sorted(found):
+            right, left = parts[i - first]
+            if count < 2:
+                for a, b in sorted(found.get(i, [])):
                     if high and a <= high[-1] + 1:
                         high[-1] = max(high[-1], b)
                     else:
                         low.append(a)
                         high.append(b)
+                beyond = max(0, min(max(before[i], after[i]) - 1, len(right)))
             best = min(best - 1, len(right))
         else:
             best = len(key) - 2 if count >= 2 else min(best - 1, len(key) - 2)
-        for k, v in zip(out, (key[:1].decode(), identity(key), count >= 2, max(best, 0), low, high, None), strict=True):
+        for k, v in zip(out, (key[:1].decode(), identity(key), count >= 2, max(best, 0), low, high, beyond, None), strict=True):
             out[k].append(v)
     return out
 
@@ -293,13 +348,30 @@ def receive(rows: pd.DataFrame) -> pd.DataFrame:
     merged = list(unique(merge(rows["run"].tolist())))
     out = judge(merged)
     for i, name in ((0, "first"), (-1, "last")):
-        for k, v in zip(out, (name, int(rows["target"].iloc[0]), None, None, [], [], merged[i][0]), strict=True):
+        for k, v in zip(out, (name, int(rows["target"].iloc[0]), None, None, [], [], None, merged[i][0]), strict=True):
             out[k].append(v)
     return pd.DataFrame(out)
 
 
+def borders(drawn: list[bytes], parts: int, whole: int) -> list[bytes]:
+    """Splitters from sorted keys, about ``parts`` - 1. Keys that share their gram stay in one partition,
+    so that they are decided there; only more than ``whole`` drawn ones are split."""
+    out, size, target = [], 0, max(1, -(-len(drawn) // parts))
+    for gram, keys in groupby(drawn, key=lambda k: k[: 1 + GRAM]):
+        keys = list(keys)
+        if len(keys) > whole > 0:
+            out.append(gram)
+            out += [k for k, _ in groupby(keys[target::target])]
+            size = len(keys) % target
+        elif size >= target:
+            out.append(gram)
+            size = 0
+        size += len(keys)
+    return [k for k, _ in groupby(out)]
+
+
 def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
-    """(side, id, twice, best, low, high) of all distinct suffixes of the rows (k, raw, cand)."""
+    """(side, id, twice, best, low, high, beyond) of all distinct suffixes of the rows (k, raw, cand)."""
     spark = candidates.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_anchors // 25_000, 1)
     rate = min(1.0, DRAWN * parts / max(2 * n_anchors, 1))
@@ -314,9 +386,8 @@ def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
 
         return work
 
-    drawn = sorted({bytes(r.key) for r in map_rows(candidates, ["k", "raw", "cand"], "key binary", draw, rows=200).collect()})  # about DRAWN keys for each partition
-    cuts = [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
-    splitters = spark.sparkContext.broadcast(cuts)
+    drawn = sorted(bytes(r.key) for r in map_rows(candidates, ["k", "raw", "cand"], "key binary", draw, rows=200).collect())  # about DRAWN keys for each partition
+    splitters = spark.sparkContext.broadcast(borders(drawn, parts, int(rate * WHOLE)))
 
     def send():
         def work(raws, cands):
@@ -335,7 +406,7 @@ def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
         return work
 
     runs = map_rows(candidates, ["raw", "cand"], "target int, run binary", send, rows=2000)
-    ddl = "side string, id long, twice boolean, best int, low array<int>, high array<int>, edge binary"
+    ddl = "side string, id long, twice boolean, best int, low array<int>, high array<int>, beyond int, edge binary"
     judged = stage(runs.groupBy("target").applyInPandas(receive, ddl), "suffixes")
     ends = sorted((r.id, r.side, bytes(r.edge)) for r in judged.where("edge is not null").select("id", "side", "edge").collect())  # two rows a partition
     patch = []
@@ -344,7 +415,7 @@ def sorted_suffixes(candidates: DataFrame, n_anchors: int) -> DataFrame:
             s = shared_from(a, b, 0) - 1
             for key in (a, b):
                 size = len(halves(key)[0]) if key[:1] == b"R" else len(key) - 2
-                patch.append((key[:1].decode(), identity(key), False, min(s, size), [], [], None))
+                patch.append((key[:1].decode(), identity(key), False, min(s, size), [], [], 0, None))
     return judged.where("edge is null").union(spark.createDataFrame(patch, ddl)).drop("edge")
 
 
@@ -375,7 +446,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     rows = docs.select(F.col(id_col).alias("id"), text.alias("raw"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("k"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     carried = [f"carry_{c}" for c in carry]
     found = stage(find_anchors(rows), "anchors")
-    often = found.groupBy("gram").count().where("count > 1").select("gram")
+    # written, so that the join's parts of a hot gram can be split
+    often = stage(found.groupBy("gram").count().where("count > 1").select("gram"), "often")
     cand = found.join(often, "gram", "left_semi").groupBy("k", "size").agg(F.sort_array(F.collect_set("anchor")).alias("cand"))
     held = F.col("cand").isNotNull()
     joined = rows.join(cand, ["k", "size"], "left")
@@ -398,27 +470,31 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         return work
 
     named = map_rows(some, ["k", "size", "raw", "cand"], "k long, size long, p long, nearest int, farthest int, gram long, rid long, lid long", name, rows=200)
-    side = lambda s, key: suffixes.where(f"side = '{s}'").groupBy(F.col("id").alias(key)).agg(F.max("twice").alias("twice"), F.max("best").alias("best"), F.max("low").alias("low"), F.max("high").alias("high"))
+    # written, so that the joins' parts of a hot suffix can be split
+    sides = stage(suffixes.groupBy("side", "id").agg(*[F.max(c).alias(c) for c in ("twice", "best", "low", "high", "beyond")]), "sides")
+    side = lambda s, key: sides.where(f"side = '{s}'").drop("side").withColumnRenamed("id", key)
     right = named.join(side("R", "rid"), "rid").where(f"twice or best + farthest >= {LENGTH}")
     left = side("L", "lid").select("lid", F.col("best").alias("back"))
-    placed = right.join(left, "lid").select("k", "size", "p", "gram", "twice", F.when(F.col("twice"), F.col("nearest")).otherwise(F.greatest("nearest", LENGTH - F.col("best"))).alias("a"), F.when(F.col("twice"), F.col("farthest")).otherwise(F.least("farthest", "back")).alias("b"), "low", "high")
+    placed = right.join(left, "lid").select("k", "size", "p", "gram", "rid", "twice", F.when(F.col("twice"), F.col("nearest")).otherwise(F.greatest("nearest", LENGTH - F.col("best"))).alias("a"), F.when(F.col("twice"), F.col("farthest")).otherwise(F.least("farthest", "back")).alias("b"), "low", "high", "beyond")
 
     def split():
-        def work(ks, sizes, ps, grams, twice, los, his, lows, highs):
-            out = {k: [] for k in ("k", "size", "p", "gram", "a", "b", "sure_low", "sure_high", "open_low", "open_high")}
-            for k, size, p, gram, both, lo, hi, low, high in zip(ks, sizes, ps, grams, twice, los, his, lows, highs, strict=True):
+        def work(ks, sizes, ps, grams, rids, twice, los, his, lows, highs, beyonds):
+            out = {k: [] for k in ("k", "size", "p", "gram", "rid", "a", "b", "sure_low", "sure_high", "open_low", "open_high")}
+            for k, size, p, gram, rid, both, lo, hi, low, high, beyond in zip(ks, sizes, ps, grams, rids, twice, los, his, lows, highs, beyonds, strict=True):
                 sure = [(lo, hi)] if both else [(max(a, lo), min(b, hi)) for a, b in zip(low, high, strict=True) if max(a, lo) <= min(b, hi)]
-                rest = [] if both else without(sure, lo, hi)
-                for key, v in zip(out, (k, size, p, gram, lo, hi, [x for x, _ in sure], [x for _, x in sure], [x for x, _ in rest], [x for _, x in rest]), strict=True):
+                rest = [] if both else without(sure, max(lo, LENGTH - beyond), hi)
+                for key, v in zip(out, (k, size, p, gram, rid, lo, hi, [x for x, _ in sure], [x for _, x in sure], [x for x, _ in rest], [x for _, x in rest]), strict=True):
                     out[key].append(v)
             return out
 
         return work
 
-    decided = stage(map_rows(placed.where("a <= b"), placed.columns, "k long, size long, p long, gram long, a int, b int, sure_low array<int>, sure_high array<int>, open_low array<int>, open_high array<int>", split), "decided")
+    decided = stage(map_rows(placed.where("a <= b"), placed.columns, "k long, size long, p long, gram long, rid long, a int, b int, sure_low array<int>, sure_high array<int>, open_low array<int>, open_high array<int>", split), "decided")
     # written, so that the planner knows its size before it chooses the join
     span = stage(decided.where("size(open_low) > 0").groupBy("gram").agg(F.min(F.array_min("open_low")).alias("from"), F.max(F.array_max("open_high")).alias("to")), "spans")
-    watched = decided.join(span, "gram").select("k", "size", "p", F.greatest("a", "from").alias("a"), F.least("b", "to").alias("b"), "open_low", "open_high").where("a <= b")
+    # one place of each suffix: at others the same strings stand
+    one = decided.groupBy("rid").agg(F.min(F.struct("gram", "k", "size", "p", "a", "b", "open_low", "open_high")).alias("x")).select("x.*")
+    watched = one.join(span, "gram").select("k", "size", "p", F.greatest("a", "from").alias("a"), F.least("b", "to").alias("b"), "open_low", "open_high").where("a <= b")
     questions = watched.select("k", "size", packed("p", "b", "a").alias("ask"), F.lit(None).cast("long").alias("open"))
     ranges = watched.select("k", "size", "p", F.explode(F.arrays_zip(F.col("open_low").alias("x"), F.col("open_high").alias("y"))).alias("z"))
     opens = ranges.select("k", "size", F.lit(None).cast("long").alias("ask"), packed("p", "z.y", "z.x").alias("open"))
@@ -456,9 +532,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                         low.append(a)
                         high.append(a + n)
                 parts = [] if raw is None else [raw[a:b] for a, b in zip([0, *high], [*low, len(raw)], strict=True)]
-                kept = None if raw is None else b"".join(parts)
+                rest_of = None if raw is None else b"".join(parts)
                 text = "".join([p.decode("utf-8", "ignore") for p in parts]) if keep_text else None
-                for key, v in zip(out, (i, size, low, high, kept if low or keep_text else None, sha if sha and not low else hashlib.sha256(kept).hexdigest(), text), strict=True):
+                for key, v in zip(out, (i, size, low, high, rest_of if low or keep_text else None, sha if sha and not low else hashlib.sha256(rest_of).hexdigest(), text), strict=True):
                     out[key].append(v)
             return out | dict(zip(carried, rest, strict=True))
 
