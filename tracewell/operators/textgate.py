@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Class, words before, words after, severity.
@@ -22,6 +22,11 @@ TRANSITIONS = [
     ("risk_reduced_to_safe", ("risk reduced", "reduced risk", "reduces risk", "safer", "mitigates"), ("safe", "safety guarantee", "hazard-free", "risk-free"), "high"),
     ("observed_to_causal", ("observed", "correlated", "appeared", "associated"), ("caused", "causes", "because", "led to"), "medium"),
 ]
+# A line with one of these is bounded or aspirational and makes no claim.
+ALLOW_MARKERS = ("draft", "future work", "future goal", "goal:", "hypothesis", "roadmap", "exploring", "proposal", "aspiration")
+# Markers that do not excuse a line with one of the terms below.
+GENERIC_MARKERS = ("prototype", "experimental")
+HARD_TERMS = ("approved", "guarantee", "guarantees", "guaranteed", "must", "policy", "production-ready", "production ready", "proven", "proves", "safe", "validated", "verified")
 #: Characters and pairs that end a line.
 LINES = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
@@ -40,25 +45,59 @@ def line_chunks(docs: DataFrame, size: int = 40, id_col: str = "doc_id", text_co
     return parts.select(id_col, "chunk", (F.col("at") + 1).alias("start_line"), F.least(F.col("at") + size, F.size("lines")).alias("end_line"), text.alias("text"), F.sha2(text, 256).alias("sha256"))
 
 
+def plain(text: Column) -> Column:
+    """A text in lower case with single spaces, also for underlines."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
+
+
 def has_any(text: Column, terms: tuple[str, ...]) -> Column:
     """Does a text, in lower case with single spaces, hold one of the terms? Single words must stand alone."""
-    plain = F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit(" ")), r"(?U)\s+", " "))
     parts = [re.escape(t) if " " in t or "-" in t else rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])" for t in terms]
-    return plain.rlike("|".join(parts))
+    return plain(text).rlike("|".join(parts))
+
+
+def boundary_marker(text: Column, markers: tuple[str, ...] = ALLOW_MARKERS) -> Column:
+    """The first marker that bounds a line, or null. A generic one does not if the line makes a hard claim."""
+    out = F.lit(None).cast("string")
+    for m in reversed(markers):
+        name = " ".join(m.lower().replace("_", " ").split())
+        held = F.contains(plain(text), F.lit(name))
+        out = F.when(held & ~has_any(text, HARD_TERMS) if name in GENERIC_MARKERS else held, F.lit(m)).otherwise(out)
+    return out
 
 
-def claim_transitions(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """(key, line, transition, severity): lines of the new text that claim more than the old text did.
+def new_lines(pairs: DataFrame, key: str, before: str, after: str, markers: tuple[str, ...]) -> DataFrame:
+    """(key, before, n, line_text, marker): the lines of the new text that are not blank."""
+    rows = pairs.select(key, F.col(before).alias("before"), F.posexplode(lines(F.col(after))).alias("n", "line_text")).where("trim(line_text) <> ''")
+    return rows.withColumn("marker", boundary_marker(F.col("line_text"), markers))
+
+
+def non_claims(pairs: DataFrame, key: str, before: str, after: str, markers: tuple[str, ...] = ALLOW_MARKERS) -> DataFrame:
+    """(key, line, reason): lines of the new text that a marker bounds, each once."""
+    found = new_lines(pairs, key, before, after, markers).where("marker is not null")
+    return found.select(key, (F.col("n") + 1).alias("line"), F.concat(F.lit("bounded_or_aspirational_marker:"), "marker").alias("reason")).distinct()
+
+
+def claim_transitions(pairs: DataFrame, key: str, before: str, after: str, markers: tuple[str, ...] = ALLOW_MARKERS) -> DataFrame:
+    """(key, line, transition, severity): lines of the new text that claim more than the old text did,
+    but for those that a marker bounds.
 
     The detectors are evaluated as columns of one row; only the true ones become rows.
     """
     flags = [F.when(has_any(F.col(before), b), F.lit(i)) for i, (_, b, _, _) in enumerate(TRANSITIONS)]
     rows = pairs.withColumn("open", F.array_compact(F.array(*flags))).where("size(open) > 0")
     rows = rows.select(key, "open", F.posexplode(lines(F.col(after))).alias("n", "line_text")).where("trim(line_text) <> ''")
+    rows = rows.where(boundary_marker(F.col("line_text"), markers).isNull())
     hits = [F.when(F.array_contains("open", i) & has_any(F.col("line_text"), a), F.struct(F.lit(name).alias("transition"), F.lit(severity).alias("severity"))) for i, (name, _, a, severity) in enumerate(TRANSITIONS)]
     return rows.select(key, (F.col("n") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "line", "h.*")
 
 
+def transition_ids(transitions: DataFrame, report: str) -> DataFrame:
+    """The transitions with ids cgt_001, cgt_002, ... in each report's order."""
+    order = Window.partitionBy(report).orderBy("line", "transition")
+    return transitions.withColumn("transition_id", F.format_string("cgt_%03d", F.row_number().over(order)))
+
+
 def match_domain(url: Column, patterns: list[str]) -> Column:
     """The first pattern that an address's host, port included, matches; "*.x" also matches x."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
