@@ -1,4 +1,4 @@
-"""Streams of receipts: usage by window, deduplication, deny rates, hysteresis, a partitioned sink.
+"""Streams of receipts: usage by window, deduplication, deny rates, tool budgets, a partitioned sink.
 
 Every function takes and returns a streaming DataFrame with an event time ``ts`` (or the batch
 equivalent). Rows later than the watermark are dropped by Spark and counted in its progress.
