@@ -98,11 +98,15 @@ def sequence_check(receipts: DataFrame, by: str, seq: str, line: str) -> DataFra
 
 
 def number_rows(receipts: DataFrame, file: str, line: str) -> DataFrame:
-    """New store sequence from 0 by (file, line): offsets of whole files, then places within a file."""
+    """New store sequence from 0 by (file, line): offsets of ranges of files, of files in their range, then places
+    within a file. The ranges are written, as a range partitioning that runs again may cut elsewhere."""
     counts = receipts.groupBy(file).agg(F.count("*").alias("n"))
-    # one row a file is summed in order
-    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranges = settle(counts.repartitionByRange(file).withColumn("range", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition is summed in order
+    bases = ranges.groupBy("range").agg(F.sum("n").alias("n")).select("range", earlier(Window.orderBy("range")).alias("base"))
+    inner = ranges.select(file, "range", earlier(Window.partitionBy("range").orderBy(file)).alias("before"))
+    offsets = inner.join(bases, "range").select(file, (F.col("base") + F.col("before")).alias("offset"))
     place = F.row_number().over(Window.partitionBy(file).orderBy(line)) - 1
     return receipts.withColumn("place", place).join(offsets, file).withColumn("store_seq", F.col("offset") + F.col("place")).drop("place", "offset")
 

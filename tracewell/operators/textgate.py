@@ -38,11 +38,12 @@ def lines(text: Column) -> Column:
 
 def line_chunks(docs: DataFrame, size: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chunk, start_line, end_line, text, sha256): runs of at most ``size`` lines."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, lines(F.col(text_col)).alias("lines")).where("size(lines) > 0")
-    starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size))
-    parts = rows.select(id_col, "lines", F.posexplode(starts).alias("chunk", "at"))
-    text = F.array_join(F.slice("lines", F.col("at") + 1, size), "\n")
-    return parts.select(id_col, "chunk", (F.col("at") + 1).alias("start_line"), F.least(F.col("at") + size, F.size("lines")).alias("end_line"), text.alias("text"), F.sha2(text, 256).alias("sha256"))
+    rows = docs.select(id_col, lines(F.col(text_col)).alias("lines"))
+    # slices are taken inside the row, so no chunk carries its text's other lines
+    piece = lambda at: F.struct(at.alias("at"), F.array_join(F.slice("lines", at + 1, size), "\n").alias("text"), F.least(at + size, F.size("lines")).alias("end_line"))
+    parts = F.when(F.size("lines") > 0, F.transform(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size)), piece))
+    rows = rows.select(id_col, F.posexplode(parts).alias("chunk", "p"))
+    return rows.select(id_col, "chunk", (F.col("p.at") + 1).alias("start_line"), F.col("p.end_line").alias("end_line"), F.col("p.text").alias("text"), F.sha2(F.col("p.text"), 256).alias("sha256"))
 
 
 def plain(text: Column) -> Column:
