@@ -138,6 +138,34 @@ def merkle_roots(leaves: DataFrame, by: str, order: str, leaf: str, checkpoint_e
     return level.select(by, F.col("h").alias("root")).join(sizes, by)
 
 
+def merkle_proofs(leaves: DataFrame, by: str, order: str, leaf: str) -> DataFrame:
+    """(by, place, leaf, proof): each leaf's siblings from its level up to the root, as hex.
+
+    Leaf by leaf, a proof has as many siblings as its group's size has bits; every round looks up one sibling by an
+    equi-join on (group, place) and is written before the next."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    level = settle(leaves.select(by, place.alias("i"), F.col(leaf).alias("h")))
+    proofs = level.select(by, F.col("i").alias("place"), F.col("h").alias("leaf"), F.col("i").cast("long").alias("at"), F.array().cast("array<string>").alias("proof"))
+    rounds = ((level.groupBy(by).count().agg(F.max("count")).first()[0] or 1) - 1).bit_length()
+    for _ in range(rounds):
+        width = F.count("*").over(Window.partitionBy(by))
+        pairs = level.withColumn("w", width).where("w > 1").groupBy(by, F.floor(F.col("i") / 2).alias("j")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
+        pairs = settle(pairs)
+        proofs = proofs.withColumn("j", F.floor(F.col("at") / 2)).join(pairs, [by, "j"], "left")  # groups that are one node already find none
+        sibling = F.when(F.col("at") % 2 == 0, F.col("b")).otherwise(F.col("a"))
+        proofs = proofs.select(by, "place", "leaf", F.col("j").alias("at"), F.when(F.col("a").isNull(), F.col("proof")).otherwise(F.concat("proof", F.array(sibling))).alias("proof"))
+        level = pairs.select(by, F.col("j").alias("i"), F.sha2(F.concat(F.unhex("a"), F.unhex("b")), 256).alias("h"))
+    return proofs.drop("at")
+
+
+def merkle_included(leaf: Column, proof: Column, root: Column, place: Column) -> Column:
+    """Does a proof lead from the leaf at a place to the root?"""
+    start = F.struct(F.unhex(leaf).alias("h"), place.cast("long").alias("i"))
+    join = lambda s, x: F.when(s["i"] % 2 == 0, F.concat(s["h"], F.unhex(x))).otherwise(F.concat(F.unhex(x), s["h"]))
+    end = F.aggregate(proof, start, lambda s, x: F.struct(F.unhex(F.sha2(join(s, x), 256)).alias("h"), F.floor(s["i"] / 2).cast("long").alias("i")))
+    return F.lower(F.hex(end["h"])) == root
+
+
 def _number(x) -> str:
     if isinstance(x, bool):
         return "true" if x else "false"

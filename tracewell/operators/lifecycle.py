@@ -52,6 +52,29 @@ def commitment_summary(events: DataFrame, now: str) -> DataFrame:
     return rows.withColumn("overdue", overdue)
 
 
+def commitment_timeline(events: DataFrame) -> DataFrame:
+    """(commitment_id, line, seq, type, summary, note): what happened to each commitment, in order.
+
+    The first registration, every observation and fulfillment that names a result, and the termination that took
+    effect. At one place in the order, a registration comes first and a termination last.
+    """
+    quoted = lambda c: F.concat(F.lit("'"), F.coalesce(F.col(c), F.lit("")), F.lit("'"))
+    line = lambda rank, text, note: [F.lit(rank).alias("rank"), text.alias("summary"), note.alias("note")]
+    due = F.coalesce(F.nullif(F.col("due_at"), F.lit("")), F.lit("perpetual"))
+    first = registrations(events).select("commitment_id", "seq", F.lit(REGISTERED).alias("type"), *line(0, F.concat(F.lit("registered by actor_id="), quoted("actor_id"), F.lit(", due_at="), due), F.lit("ok")))
+    seen = events.where((F.col("type") == OBSERVED) & (F.col("commitment_id") != "") & (F.col("result_id") != ""))
+    seen = seen.select("commitment_id", "seq", "type", *line(1, F.concat(F.lit("observed result_id="), quoted("result_id")), F.lit("anchor edge present")))
+    ends = commitment_ends(events)
+    broken = F.concat(F.lit("invalid anchor ("), F.coalesce(F.nullif(F.col("reasons"), F.lit("")), F.lit("unknown")), F.lit(")"))
+    stops = F.col("type") == TERMINATED
+    replaced = F.when(F.col("replacement_id") != "", F.concat(F.lit(", replacement="), quoted("replacement_id"))).otherwise("")
+    text = F.when(stops, F.concat(F.lit("terminated (reason="), F.col("terminal_reason"), replaced, F.lit(")"))).otherwise(F.concat(F.lit("fulfillment for result_id="), quoted("result_id")))
+    note = F.when(stops, "terminates commitment").when(F.col("valid") & (F.col("reasons") == ""), "closes commitment").otherwise(broken)
+    ended = ends.where(~stops | F.col("valid")).select("commitment_id", "seq", "type", F.when(stops, 3).otherwise(2).alias("rank"), text.alias("summary"), note.alias("note"))
+    order = Window.partitionBy("commitment_id").orderBy("seq", "rank", "summary")
+    return first.union(seen).union(ended).withColumn("line", F.row_number().over(order)).select("commitment_id", "line", "seq", "type", "summary", "note")
+
+
 def supersession_edges(events: DataFrame) -> DataFrame:
     """(predecessor, successor, source_seq, source_type, root): each pair once, from its first source, with the first root that is given."""
     declared = events.where((F.col("type") == REGISTERED) & (F.col("supersedes_id") != "")).select(F.col("supersedes_id").alias("predecessor"), F.col("commitment_id").alias("successor"), "seq", "type", "root_id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +101,44 @@ def transition_ids(transitions: DataFrame, report: str) -> DataFrame:
     return transitions.withColumn("transition_id", F.format_string("cgt_%03d", F.row_number().over(order)))
 
 
+def glob_match(path: Column, pattern: str) -> Column:
+    """Does a whole path match a pattern? A star also matches slashes."""
+    return path.rlike("(?s)^" + fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z") + "\\z")
+
+
+def claim_evidence_paths(paths: DataFrame, patterns: dict[str, list[str]], key: str, path: str = "path") -> DataFrame:
+    """(key, requirement, path): the paths of each change that a requirement's patterns find, each once."""
+    hits = [F.when(reduce(or_, (glob_match(F.col(path), p) for p in found)), F.lit(name)) for name, found in patterns.items() if found]
+    return paths.select(key, F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *hits))).alias("requirement"), F.col(path).alias("path")).distinct()
+
+
+def apply_policy(transitions: DataFrame, rules: dict[str, tuple[str, str, list[str]]], evidence: DataFrame, key: str, default: str = "NEEDS_REVIEW") -> DataFrame:
+    """The transitions with what their rule requires, what of it has no evidence, severity and verdict.
+
+    rules: class -> (verdict, severity or "" for the transition's own, requirements). A rule whose requirements all
+    have evidence passes; one without requirements always gives its verdict. Classes without a rule get the default
+    verdict and medium severity. A change's evidence is joined as the set of requirements that have any, which is
+    no longer than the rules."""
+    kind, none = F.col("transition"), F.array().cast("array<string>")
+    verdict, severity, requires = (F.when(F.lit(False), x) for x in (F.lit(""), F.lit(""), none))
+    for name, (v, s, needed) in rules.items():
+        verdict = verdict.when(kind == name, F.lit(v))
+        severity = severity.when(kind == name, F.lit(s) if s else F.col("severity"))
+        requires = requires.when(kind == name, F.array(*map(F.lit, needed)).cast("array<string>"))
+    met = evidence.groupBy(key).agg(F.collect_set("requirement").alias("met"))
+    rows = transitions.withColumns({"verdict": verdict.otherwise(default), "severity": severity.otherwise("medium"), "required": requires.otherwise(none)}).join(met, key, "left")
+    missing = F.array_except("required", F.coalesce("met", none))
+    rows = rows.withColumn("missing", missing)
+    passed = (F.size("required") > 0) & (F.size("missing") == 0)
+    return rows.withColumn("verdict", F.when(passed, "PASS").otherwise(F.col("verdict"))).drop("met")
+
+
+def overall_claims(judged: DataFrame, key: str) -> DataFrame:
+    """(key, overall): BLOCK, else NEEDS_REVIEW, else PASS, over a change's transitions."""
+    any_of = lambda v: F.coalesce(F.bool_or(F.col("verdict") == v), F.lit(False))
+    return judged.groupBy(key).agg(F.when(any_of("BLOCK"), "BLOCK").when(any_of("NEEDS_REVIEW"), "NEEDS_REVIEW").otherwise("PASS").alias("overall"))
+
+
 def match_domain(url: Column, patterns: list[str]) -> Column:
     """The first pattern that an address's host, port included, matches; "*.x" also matches x."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)

@@ -1,4 +1,4 @@
-"""Streams of receipts: usage by window, deduplication, deny rates, tool budgets, a partitioned sink.
+"""Streams of receipts: usage by window, deduplication, deny rates, tool budgets, hysteresis of readings, a partitioned sink.
 
 Every function takes and returns a streaming DataFrame with an event time ``ts`` (or the batch
 equivalent). Rows later than the watermark are dropped by Spark and counted in its progress.
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.health import READINGS
 from ..operators.policy import outcome_class
 from ..operators.usage import calls
 
@@ -51,6 +52,31 @@ def tool_budgets(receipts: DataFrame, limits: dict[str, int], default: int = 1_0
     return rows.groupBy("session", "tool_name").applyInPandasWithState(step, "session string, tool_name string, seq long, allowed boolean", "used long", "append", "NoTimeout")
 
 
+def grace(checked: DataFrame, key: str = "user_id", order: str = "seq", readings: int = READINGS, unanimous: bool = True) -> DataFrame:
+    """(key, order, passes, in_grace): the hysteresis of readings as they come.
+
+    checked: key and order (whole numbers) and passes, a boolean; null counts as failed. The state of a key is its
+    last readings, oldest first, and where it stands; rows of a batch are taken in order, and a batch's rows
+    come after those of the batches before."""
+    need = readings if unanimous else readings // 2 + 1
+
+    def step(found: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        history, inside = state.get if state.exists else ("", False)
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        stands = []
+        for ok in rows["passes"]:
+            history = (history + ("1" if ok else "0"))[-readings:]
+            good = history.count("1")
+            if len(history) == readings:
+                inside = True if good >= need else False if readings - good >= need else inside
+            stands.append(inside)
+        state.update((history, inside))
+        yield pd.DataFrame({key: found[0], order: rows[order].to_numpy(), "passes": rows["passes"].to_numpy(bool), "in_grace": stands})
+
+    rows = checked.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.coalesce("passes", F.lit(False)).alias("passes"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, passes boolean, in_grace boolean", "history string, inside boolean", "append", "NoTimeout")
+
+
 def write_traces(lines: DataFrame, path: str, bad_path: str, checkpoint: str):
     """Parse JSON lines (raw, date) as they come; good rows go to Parquet by date, bad lines to a side table."""
     from ..sources.receipts import SCHEMA, normalize
