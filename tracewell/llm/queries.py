@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, sharding, shingles, suffixes, toxicity, vectors
+from . import bpe, language, licenses, media, packing, secrets, sharding, shingles, suffixes, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,6 +79,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_forest": op2_forest,
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_suffixes": op9_suffixes,
     "op10_bpe": op10_bpe,
+    "op11_secrets": op11_secrets,
 }
 ORACLES: dict[str, str] = {
     "op1_pivots": """
