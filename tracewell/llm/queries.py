@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, secrets, sharding, shingles, suffixes, toxicity, vectors
+from . import bpe, language, licenses, media, packing, secrets, sharding, shingles, spelling, suffixes, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -87,6 +87,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), spoil=97))
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_forest": op2_forest,
@@ -99,6 +103,7 @@ QUERIES = {
     "op9_suffixes": op9_suffixes,
     "op10_bpe": op10_bpe,
     "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
 }
 ORACLES: dict[str, str] = {
     "op1_pivots": """
@@ -139,5 +144,40 @@ WITH RECURSIVE w AS (
 ), comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id, coalesce(comp.c, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN rep ON len(s.s) > 0 AND rep.k = list_sort(s.s) LEFT JOIN comp ON comp.id = rep.rep
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), k AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS id, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS blob FROM r
+), t AS MATERIALIZED (
+  SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384), i) AS c FROM range(256) AS x(i)
+), crc(id, rest, h) AS (
+  SELECT id, hex(blob), 4294967295 FROM k
+  UNION ALL
+  SELECT id, substr(rest, 3), xor(c, h >> 8) FROM crc JOIN t ON t.i = xor(h & 255, CAST('0x' || substr(rest, 1, 2) AS BIGINT)) WHERE rest <> ''
+), hashed AS MATERIALIZED (
+  SELECT k.*, xor(4294967295, crc.h) AS h FROM k JOIN crc ON crc.id = k.id AND crc.rest = ''
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.p = b.p AND a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN w ON w.word = c.p || c.s
+  UNION SELECT w.word, c.word FROM cuts c JOIN w ON w.word = c.p || c.s
+), best AS (
+  SELECT near.a AS word, count(*) AS n_near, min({'less': -w.n, 'word': near.b}) AS top FROM near JOIN w ON w.word = near.b GROUP BY near.a
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 2 * w.n THEN top.word END AS form, CASE WHEN -top.less >= 2 * w.n THEN -top.less END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word
+), steps AS MATERIALIZED (
+  SELECT word AS source, form AS goal FROM formed WHERE form IS NOT NULL
+), way(word, target) AS (SELECT word, word FROM w UNION SELECT way.word, steps.goal FROM way JOIN steps ON steps.source = way.target)
+SELECT formed.*, way.target AS root FROM formed JOIN way ON way.word = formed.word JOIN formed AS f ON f.word = way.target WHERE f.form IS NULL
 """,
 }
