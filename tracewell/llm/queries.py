@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, media, packing, secrets, sharding, shingles, spelling, suffixes, toxicity, vectors
+from . import bpe, language, licenses, media, packing, repair, secrets, sharding, shingles, spelling, suffixes, toxicity, vectors
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -91,6 +91,14 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), spoil=97))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    ids, found = turns.select("conv_id").distinct(), repair.repair(repair.damage(turns))
+    every = ids.alias("i").join(found.alias("r"), F.col("i.conv_id").eqNullSafe(F.col("r.conv_id")), "left")
+    longs = [F.coalesce(f"r.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("i.conv_id", *longs, F.coalesce("r.audit", F.lit("")).alias("audit"), F.coalesce("r.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_pivots": op1_pivots,
     "op2_forest": op2_forest,
@@ -104,6 +112,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_secrets": op11_secrets,
     "op12_spelling": op12_spelling,
+    "op13_repair": op13_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_pivots": """
