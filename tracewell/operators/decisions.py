@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import settle
+from .ancestry import grounded
 
 # Dispositions that a verdict allows; verdicts of an advisory authority; order of proof tiers.
 DISPOSITIONS = {"APPROVE": ["execute"], "REFUSE": ["block", "escalate"], "DEFER": ["defer_with_obligation", "escalate"], "ABSTAIN": ["escalate", "no_action"], "ROLLBACK": ["compensate", "execute"], "CONFLICT": ["escalate"]}
@@ -90,11 +90,11 @@ def episode_completeness(obligations: DataFrame, receipts: DataFrame) -> DataFra
     return out.withColumn("completeness", (F.col("obligations") - F.col("missing")) / F.col("obligations"))
 
 
-def step_graphs(steps: DataFrame, depends: DataFrame, rounds: int = 64) -> DataFrame:
+def step_graphs(steps: DataFrame, depends: DataFrame) -> DataFrame:
     """(episode_id, finding): duplicate steps, unknown dependencies, no terminal step that emits, cycles.
 
-    steps: (episode_id, step_id, opcode); depends: (episode_id, step_id, on). A round takes away all steps
-    whose dependencies are gone; what stays for good lies on or behind a cycle."""
+    steps: (episode_id, step_id, opcode); depends: (episode_id, step_id, on). Steps that are not grounded, at any
+    depth, lie on or behind a cycle."""
     keys = ["episode_id", "step_id"]
     counted = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.min("opcode").alias("opcode"))
     twice = counted.where("n > 1").select("episode_id", F.lit("duplicate step").alias("finding"))
@@ -105,15 +105,9 @@ def step_graphs(steps: DataFrame, depends: DataFrame, rounds: int = 64) -> DataF
     ends = counted.join(edges.select("episode_id", F.col("on").alias("step_id")), keys, "left_anti")
     emits = ends.where("opcode = 'EMIT_OUTPUT'").select("episode_id")
     silent = counted.select("episode_id").distinct().join(emits, "episode_id", "left_anti").select("episode_id", F.lit("no terminal output").alias("finding"))
-    left = counted.select(*keys)
-    n = left.count()
-    for _ in range(rounds):
-        inner = edges.join(left.select("episode_id", F.col("step_id").alias("on")), ["episode_id", "on"], "left_semi")
-        left = settle(left.join(inner.select(*keys).distinct(), keys, "left_semi"))
-        rest = left.count()
-        if rest == n or not rest:
-            break
-        n = rest
+    step = lambda name: F.struct(F.col("episode_id"), F.col(name).alias("step_id"))
+    firm = grounded(counted.select(step("step_id").alias("node"), F.lit(True).alias("open")), edges.select(step("step_id").alias("node"), step("on").alias("on")))
+    left = counted.select(*keys).join(firm.select("node.*"), keys, "left_anti")
     cyclic = left.select("episode_id", F.lit("cycle").alias("finding"))
     return twice.union(unknown).union(silent).union(cyclic).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stages import settle
+from .ancestry import grounded
 
 MODES = ("permissive", "balanced", "strict")
 
@@ -156,25 +156,16 @@ def required_checks(heads: DataFrame, required: list[str], observed: DataFrame,
     return rows.select("head", "name", status.alias("status"))
 
 
-def admissible(artifacts: DataFrame, inputs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(artifact_id, admissible): active artifacts all of whose inputs, and theirs, are so.
-
-    artifacts: (artifact_id, active); inputs: (artifact_id, input_id). Inadmissibility spreads along
-    the inputs until nothing changes; an artifact on a cycle has no ground to stand on, so
-    what counts is grown from artifacts without inputs."""
-    good = artifacts.where("active").join(inputs.select("artifact_id").distinct(), "artifact_id", "left_anti").select("artifact_id")
-    need = inputs.groupBy("artifact_id").agg(F.count_distinct("input_id").alias("need"))
-    active = artifacts.where("active").select("artifact_id")
-    n = good.count()
-    for _ in range(rounds):
-        met = inputs.distinct().join(good.withColumnRenamed("artifact_id", "input_id"), "input_id", "left_semi").groupBy("artifact_id").agg(F.count("*").alias("met"))
-        more = need.join(met, "artifact_id").where("need = met").select("artifact_id").join(active, "artifact_id", "left_semi")
-        good = settle(good.union(more).distinct())
-        new = good.count()
-        if new == n:
-            break
-        n = new
-    return artifacts.select("artifact_id").join(good.withColumn("a", F.lit(True)), "artifact_id", "left").select("artifact_id", F.coalesce("a", F.lit(False)).alias("admissible"))
+def admissible(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(artifact_id, admissible): active artifacts all of whose inputs, and theirs, are so, at any depth.
+
+    artifacts: (artifact_id, active); inputs: (artifact_id, input_id). An artifact on a ring has no ground to stand
+    on, nor has one whose input is not among the artifacts."""
+    known = artifacts.select(F.col("artifact_id").alias("node"), F.col("active").alias("open"))
+    lost = inputs.select(F.col("input_id").alias("node")).distinct().join(known, "node", "left_anti").select("node", F.lit(False).alias("open"))
+    good = grounded(known.union(lost), inputs.select(F.col("artifact_id").alias("node"), F.col("input_id").alias("on")))
+    good = good.select(F.col("node").alias("artifact_id"), F.lit(True).alias("a"))
+    return artifacts.select("artifact_id").join(good, "artifact_id", "left").select("artifact_id", F.coalesce("a", F.lit(False)).alias("admissible"))
 
 
 def previous_pack(packs: DataFrame, by: str = "parent", order: str = "mtime") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stages import settle
+from .ancestry import ancestors
 
 # Verdicts that deny.
 DENYING = ("deny", "denied", "block", "blocked")
@@ -37,24 +38,14 @@ def summary(classified: DataFrame, by: list[str]) -> DataFrame:
 
 def chains(receipts: DataFrame, starts: DataFrame, by: str = "pack_id", depth: int | None = None) -> DataFrame:
     """(by, receipt_id, step, ancestor): parents of every start, step by step, until one is missing or
-    comes again, or ``depth`` is reached if one is given. Only the frontier is joined."""
-    edges = receipts.where("receipt_id <> ''").groupBy(by, "receipt_id").agg(F.max("parent_receipt_id").alias("parent"))
-    frontier = starts.select(by, "receipt_id", F.lit(0).alias("step"), F.col("receipt_id").alias("ancestor"), F.array("receipt_id").alias("seen")).distinct()
-    if depth is None:
-        edges, frontier = settle(edges), settle(frontier)
-    out, k = frontier, 0
-    while depth is None or k < depth:
-        k += 1
-        up = frontier.join(edges.select(by, F.col("receipt_id").alias("ancestor"), "parent"), [by, "ancestor"])
-        known = edges.select(by, F.col("receipt_id").alias("parent"))
-        up = up.where("parent <> '' and not array_contains(seen, parent)").join(known, [by, "parent"], "left_semi")
-        frontier = up.select(by, "receipt_id", F.lit(k).alias("step"), F.col("parent").alias("ancestor"), F.concat("seen", F.array("parent")).alias("seen"))
-        if depth is None or (k % 4 == 0 and k < depth):  # else every step would walk all those before it again
-            frontier = settle(frontier)
-        if depth is None and frontier.isEmpty():
-            break
-        out = out.union(frontier)
-    return out.drop("seen")
+    comes again, or ``depth`` is reached if one is given. Steps double from round to round."""
+    named = receipts.where("receipt_id <> ''").groupBy(by, "receipt_id").agg(F.max("parent_receipt_id").alias("parent"))
+    node = lambda c: F.struct(F.col(by).alias("by"), F.col(c).alias("id"))
+    nodes = named.select(node("receipt_id").alias("node"), node("parent").alias("parent"))
+    known = settle(nodes).where("parent.id <> ''").join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
+    first = starts.select(node("receipt_id").alias("node")).distinct()
+    up = ancestors(known.select("node", "parent"), first, depth).union(first.select("node", F.lit(0).cast("long"), F.col("node").alias("ancestor")))
+    return up.select(F.col("node.by").alias(by), F.col("node.id").alias("receipt_id"), F.col("step").cast("int").alias("step"), F.col("ancestor.id").alias("ancestor"))
 
 
 def first_divergence(classified: DataFrame, pairs: DataFrame, by: str = "pack_id") -> DataFrame:
