@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -220,6 +221,5 @@ def write_packs(receipts: DataFrame, path: str) -> None:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(pack_id, path, content) of packs' files below ``path``; the pack is the folder below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    inside = F.regexp_extract("path", F.lit(r"^.*?" + path.rstrip("/").rpartition("/")[2] + r"/([^/]+)/(.+)$"), F.lit(1))
-    rest = F.regexp_extract("path", F.lit(r"^.*?" + path.rstrip("/").rpartition("/")[2] + r"/([^/]+)/(.+)$"), F.lit(2))
-    return files.select(inside.alias("pack_id"), rest.alias("path"), "content")
+    below = "^.*?" + re.escape(path.rstrip("/").rpartition("/")[2]) + "/([^/]+)/(.+)$"
+    return files.select(F.regexp_extract("path", below, 1).alias("pack_id"), F.regexp_extract("path", below, 2).alias("path"), "content")
