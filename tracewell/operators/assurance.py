@@ -40,6 +40,11 @@ def _set(c: str | Column) -> Column:
     return F.coalesce(column.cast("string") != "", F.lit(False))
 
 
+def _named(c: str) -> Column:
+    """Given, and not by the word that stands for nothing."""
+    return _set(c) & (F.col(c) != "unknown")
+
+
 def compliance(packs: DataFrame, receipts: DataFrame, by: str, controls: list[tuple] = CONTROLS) -> DataFrame:
     """(by, framework, control_id, severity, verdict, evidence) of each pack and control.
 
@@ -62,8 +67,8 @@ def compliance(packs: DataFrame, receipts: DataFrame, by: str, controls: list[tu
         "portable_pack": (F.lit("PASS"), F.lit("Evidence pack exists as portable, self-contained files.")),
         "retention": (F.lit("UNKNOWN"), F.lit("Retention is not enforced by packs and must be verified separately.")),
         "claims_evaluated": (verdict(F.col("claims_present")), F.when(F.col("claims_present"), "Governance claims evaluated.").otherwise("No governance claims were defined or evaluated for this pack.")),
-        "manifest_present": (verdict(_set(by)), F.when(_set(by), "Pack manifest present with attestation.").otherwise("Pack manifest missing or incomplete.")),
-        "signer_present": (verdict(_set("signer_id")), F.when(_set("signer_id"), F.concat(F.lit("Pack signed by '"), "signer_id", F.lit("' with Ed25519 key."))).otherwise("No signer identity found in pack manifest.")),
+        "manifest_present": (verdict(_named(by)), F.when(_named(by), "Pack manifest present with attestation.").otherwise("Pack manifest missing or incomplete.")),
+        "signer_present": (verdict(_named("signer_id")), F.when(_named("signer_id"), F.concat(F.lit("Pack signed by '"), "signer_id", F.lit("' with Ed25519 key."))).otherwise("No signer identity found in pack manifest.")),
     }
     done = F.array(*[F.struct(F.lit(f).alias("framework"), F.lit(c).alias("control_id"), F.lit(s).alias("severity"), checks[k][0].alias("verdict"), checks[k][1].alias("evidence")) for f, c, k, s in controls])
     return rows.select(by, F.explode(done).alias("c")).select(by, "c.*")
@@ -81,7 +86,7 @@ def classify_trust(requested: DataFrame, decisions: DataFrame, invalid: DataFram
     decisions: key, signature, signer_key, signature_ok (null: no verifier), content_hash; invalid: keys that break a
     rule, once or more. An empty signature is invalid; one that cannot be checked goes before broken rules."""
     rows = requested.select(key).join(decisions.withColumn("here", F.lit(True)), key, "left").join(invalid.select(key).distinct().withColumn("broken", F.lit(True)), key, "left")
-    given, blank = F.col("signature").isNotNull(), F.trim("signature") == ""
+    given, blank = F.col("signature").isNotNull(), F.col("signature").rlike(r"(?U)^\s*$")
     unchecked = F.col("signature_ok").isNull() | F.col("signer_key").isNull()
     outcome = (
         F.when(F.col("here").isNull(), F.array(F.lit("MISSING"), F.lit("No receipt")))

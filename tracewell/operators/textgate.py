@@ -96,8 +96,9 @@ def claim_transitions(pairs: DataFrame, key: str, before: str, after: str, marke
 
 
 def transition_ids(transitions: DataFrame, report: str) -> DataFrame:
-    """The transitions with ids cgt_001, cgt_002, ... in each report's order."""
-    order = Window.partitionBy(report).orderBy("line", "transition")
+    """The transitions with ids cgt_001, cgt_002, ... in each report's order: by file and line, then by transition, then by
+    text. A report of one file may come without the column ``file``, and without ``text``."""
+    order = Window.partitionBy(report).orderBy(*[c for c in ("file", "line", "transition", "text") if c in transitions.columns])
     return transitions.withColumn("transition_id", F.format_string("cgt_%03d", F.row_number().over(order)))
 
 

@@ -1,4 +1,4 @@
-"""Streams of receipts: usage by window, deduplication, deny rates, tool budgets, hysteresis of readings, a partitioned sink.
+"""Streams of receipts: usage by window, deduplication, deny rates, tool budgets, hysteresis of readings, open lifecycles, a partitioned sink.
 
 Every function takes and returns a streaming DataFrame with an event time ``ts`` (or the batch
 equivalent). Rows later than the watermark are dropped by Spark and counted in its progress.
@@ -78,14 +78,18 @@ def grace(checked: DataFrame, key: str = "user_id", order: str = "seq", readings
 
 
 def write_traces(lines: DataFrame, path: str, bad_path: str, checkpoint: str):
-    """Parse JSON lines (raw, date) as they come; good rows go to Parquet by date, bad lines to a side table."""
+    """Parse JSON lines (raw, date) as they come; good rows go to Parquet by epoch and date, bad lines to a side table by
+    epoch. A batch that runs again replaces what it wrote before, so every line is there once."""
     from ..sources.receipts import SCHEMA, normalize
 
     def write(batch: DataFrame, epoch: int) -> None:
-        parsed = batch.withColumn("r", F.from_json("raw", SCHEMA)).withColumn("ok", F.expr("try_parse_json(raw)").isNotNull())
-        good = normalize(parsed.where("ok").select("date", "raw", "r.*")).withColumn("epoch", F.lit(epoch))
-        good.write.mode("append").partitionBy("date").parquet(path)
-        parsed.where("not ok").select("date", "raw", F.lit(epoch).alias("epoch")).write.mode("append").parquet(bad_path)
+        parsed = batch.withColumn("ok", F.expr("try_parse_json(raw)").isNotNull()).persist()
+        try:
+            good = normalize(parsed.where("ok").withColumn("r", F.from_json("raw", SCHEMA)).select("date", "raw", "r.*"))
+            good.write.mode("overwrite").partitionBy("date").parquet(f"{path}/epoch={epoch}")
+            parsed.where("not ok").select("date", "raw").write.mode("overwrite").parquet(f"{bad_path}/epoch={epoch}")
+        finally:
+            parsed.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -94,3 +98,38 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Write what is there to Parquet at ``path`` and stop; its checkpoint lies beside it."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def open_lifecycles(events: DataFrame, timeout: float, late: str = "10 minutes") -> DataFrame:
+    """(key, opened_at, receipts, last_type, last_at) of lifecycles that stay open for ``timeout`` seconds of event time.
+
+    events: key (text), type, step (``open``, ``close`` or null) and ts. A key's first opening starts it, all its receipts from then on
+    count, and a close ends it whenever it comes before the timer: only then nothing is reported. The state of a key is
+    one row; its timer is the opening and ``timeout``, and it goes when the watermark passes that. Rows of a batch
+    are taken by time; ties put openings first.
+    """
+
+    def step(found: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        opened, n, last_type, last_at, closed = state.get if state.exists else (None, 0, None, None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if opened is not None and not closed:
+                yield pd.DataFrame({"key": [found[0]], "opened_us": [opened], "receipts": [n], "last_type": [last_type], "last_us": [last_at]})
+            return
+        rows = pd.concat(list(batches))
+        rows = rows.assign(rank=(rows["step"] != "open").astype(int)).sort_values(["at", "rank"], kind="stable")
+        first = opened
+        for kind, what, at in zip(rows["type"], rows["step"], rows["at"], strict=True):
+            first = int(at) if first is None else first
+            if what == "open" and opened is None:
+                opened = int(at)
+            if opened is not None:
+                n, last_type, last_at = n + 1, kind, int(at)
+            closed = closed or what == "close"
+        state.update((opened, n, last_type, last_at, closed))
+        due = int((opened if opened is not None else first) / 1000 + timeout * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    rows = events.withWatermark("ts", late).select("key", "type", "step", "ts", F.unix_micros("ts").alias("at"))
+    out = rows.groupBy("key").applyInPandasWithState(step, "key string, opened_us long, receipts long, last_type string, last_us long", "opened long, n long, last_type string, last_at long, closed boolean", "append", "EventTimeTimeout")
+    return out.select("key", F.timestamp_micros("opened_us").alias("opened_at"), "receipts", "last_type", F.timestamp_micros("last_us").alias("last_at"))
