@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rows, kept, map_rows, small_batches
@@ -25,8 +25,8 @@ SCALED = 12
 CELLS = 1 << 17
 #: Probability of a letter that a language's pieces do not give.
 FLOOR = 1e-6
-#: Texts of each language that are read to fit, about; rounds of fitting.
-SAMPLE, ROUNDS = 600, 4
+#: Texts of each language that are read to fit, about, and the most bytes of them; rounds of fitting.
+SAMPLE, SAMPLE_BYTES, ROUNDS = 600, 64_000_000, 4
 LETTERS = regex.compile(r"\p{L}+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,19 +186,24 @@ def fit(samples: dict[str, list[str]], pieces: list[str], rounds: int = ROUNDS)
     return Model([pieces[i] for i in used], languages, table[used])
 
 
-def sample(docs: DataFrame, keep: Column, label_col: str, id_col: str, text_col: str, size: int) -> dict[str, list[str]]:
-    """About ``size`` texts of each label among the rows that ``keep`` holds for, drawn by a hash
-    of the id at a rate set from the label's row count. The bound is size x labels."""
-    labelled = docs.where(keep & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
+def sample(docs: DataFrame, keep: Column, label_col: str, id_col: str, text_col: str, size: int, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """About ``size`` texts of each label among the rows that ``keep`` holds for, drawn by a hash of the id (of the text,
+    where the id is null) at a rate set from the label's number of ids; of an id with several texts one counts. In the
+    order of the hash at most twice ``size`` texts and ``most_bytes`` bytes of a label come to the driver."""
+    key = F.coalesce(F.col(id_col), F.xxhash64(text_col))
+    labelled = docs.where(keep & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), key.alias("key"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("label").agg(F.count_distinct("key")).collect()}
     if not counts:
         return {}
-    draw = (F.pmod(F.xxhash64(F.col(id_col), F.lit("draw")), F.lit(1 << 30))) / float(1 << 30)
+    draw = (F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 30))) / float(1 << 30)
     rate = F.lit(0.0)
     for label, n in counts.items():
-        rate = F.when(F.col(label_col) == label, F.lit(size / n)).otherwise(rate)
+        rate = F.when(F.col("label") == label, F.lit(size / n)).otherwise(rate)
+    drawn = labelled.where(draw < rate).groupBy("label", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("draw", draw)
+    order = Window.partitionBy("label").orderBy("draw", "key")
+    drawn = drawn.withColumn("n", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out: dict[str, list[str]] = {label: [] for label in counts}
-    for r in labelled.where(draw < rate).select(label_col, text_col).collect():  # about size x labels rows
+    for r in drawn.where((F.col("n") <= 2 * size) & (F.col("bytes") <= most_bytes)).select("label", "text").collect():
         out[r[0]].append(r[1])
     return {k: v for k, v in out.items() if v}
 

@@ -78,12 +78,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     size: UTF-8 bytes of the text plus 8; tokens: runs of characters other than white space.
     Null texts count as empty and join that group. Rows that repeat are placed each, like
-    other members of their group. A group above half a shard is split; all others stay
-    whole. Slots number a shard's rows from 0 without gaps. Empty tables have no rows.
+    other members of their group. A group above half a shard is split by its rows' numbers, so
+    that rows of one id, or of none, part too; all others stay whole. Slots number a shard's rows from 0 without gaps. Empty tables have no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stage(
-        docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")),
+        docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")),
         "rows",
     )
     spark = docs.sparkSession
@@ -100,7 +100,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     whole = [r for r in above if not (r.worst > 1 and r.rows > 1)]
     known = spark.createDataFrame([(r.h, r["size"], r.text_crc32, math.ceil(r.worst * 8) if r.worst > 1 and r.rows > 1 else None) for r in above], f"{key}, salts int")
     # as many rows as groups above the limit
-    salted = rows.join(F.broadcast(known.where("salts is not null")), ["h", "size", "text_crc32"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.expr("pmod(xxhash64(id, 'salt'), salts)")))
+    salted = rows.join(F.broadcast(known.where("salts is not null")), ["h", "size", "text_crc32"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.expr("pmod(xxhash64(row, 'salt'), salts)")))
     parts = salted.where("salt is not null").groupBy("h", "size", "text_crc32", "salt").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("all_tokens"), F.count("*").alias("rows")).orderBy("h", "size", "salt").collect() if large else []
     needs = np.array([[p.bytes, p.all_tokens, p.rows] for p in [*parts, *whole]], float).reshape(-1, 3)
     first = place(needs, capacity)

@@ -14,13 +14,15 @@ from collections import Counter
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rows, kept, map_rows, small_batches
 
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 48, 32
+#: The most bytes of a label's texts to learn from.
+SAMPLE_BYTES = 64_000_000
 #: Texts of each label to learn from, about; rounds; sizes of word and character vectors, of a state and of attention.
 SAMPLE, ROUNDS, WORD_DIM, CHAR_DIM, STATE, ATTENTION = 700, 6, 10, 6, 8, 8
 #: Lengths of the character runs that begin and that end a longer word.
@@ -294,14 +296,18 @@ def fit(texts: list[str], labels: list[int], base: float, rounds: int = ROUNDS)
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Network:
     """A network from about ``size`` texts of label 1 and twice as many of label 0, among the rows that ``keep``
     holds for, drawn by a hash of the id. Rows without text or label, and labels other than 0
-    and 1, are not learned from; an id with both labels counts as 1."""
+    and 1, are not learned from; an id with both labels counts as 1, and one of its texts if it has several. In the order of
+    the hash at most four times ``size`` texts and SAMPLE_BYTES bytes of a label come to the driver."""
     known = labels.where(keep & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     draw = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     rates = F.when(F.col("label") == 1, size / max(1, counts.get(1, 0))).otherwise(2 * size / max(1, counts.get(0, 0)))
     drawn = known.where(draw < rates)  # about 3 x size rows at any size of the table
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
+    one = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    order = Window.partitionBy("label").orderBy(draw, "id")
+    one = one.withColumn("n", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = one.where((F.col("n") <= 4 * size) & (F.col("bytes") <= SAMPLE_BYTES)).select("id", "text", "label").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     base = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r[1] for r in rows], [r[2] for r in rows], base)
