@@ -10,6 +10,8 @@ import pytest
 from tracewell.llm import repair
 from tracewell.llm.queries import QUERIES
 
+from .oracle import same
+
 NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -124,3 +126,7 @@ def test_query(spark):
     want = {c: (0, 0, 0, 0, 0, 0, "", NONE) for c in {r[0] for r in table}} | {c: plain(rs) for c, rs in by_conversation(damaged(table)).items()}
     got = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in QUERIES["op13_repair"](spark, "/root/testdata/sf0.01").collect()}
     assert got == want
+
+
+def test_query_equals_sql(spark):
+    assert same(spark, "op13_repair") > 0

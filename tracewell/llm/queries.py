@@ -114,6 +114,51 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_repair": op13_repair,
 }
+
+def _repair_sql() -> str:
+    """The cheapest edits from each of four states, row by row from a conversation's end."""
+    way = lambda cost, edit, line, rest: f"{{'c': {rest}.c + {cost}, 'a': '{edit}' || {rest}.a, 'l': {line} || {rest}.l}}"
+    after, keeps = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+
+    def row(q: int) -> str:
+        kept = " ".join(f"WHEN fault < 2 AND first = '{x}' THEN {way('fault', 'K', '[line]', f's{to}')}" for x, to in keeps[q].items())
+        name = "assistant" if q == 2 else "user"
+        changed = way("2 + fault", "R", f"['{name}:' || text]", f"s{after[q]}")
+        return f"list_min([{way(3, 'D', '[]', f's{q}')}, CASE {kept} END, CASE WHEN fault < 2 THEN {changed} END]) AS e{q}"
+
+    insert = lambda rest, name: way(2, "I", f"['{name}:']", rest)
+    last = "{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}, {'c': 4, 'a': 'II', 'l': ['user:', 'assistant:']}, {'c': 2, 'a': 'I', 'l': ['assistant:']}, {'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}"
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations
+), b AS MATERIALIZED (
+  SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384), i) AS c FROM range(256) AS x(i)
+), crc(id, rest, h) AS (
+  SELECT id, hex(k), 4294967295 FROM t
+  UNION ALL
+  SELECT id, substr(rest, 3), xor(c, h >> 8) FROM crc JOIN b ON b.i = xor(h & 255, CAST('0x' || substr(rest, 1, 2) AS BIGINT)) WHERE rest <> ''
+), d AS MATERIALIZED (
+  SELECT t.g, t.turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE m WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM t JOIN (SELECT id, xor(4294967295, h) % 20 AS m FROM crc WHERE rest = '') x ON x.id = t.id
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(left(role, 1)) OVER w || left(role, 1) AS pair, left(role, 1) AS first, role || ':' || text AS line,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), r AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' OR again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault FROM o
+), best(g, i, s0, s1, s2, s3) AS (
+  SELECT g, n + 1, {last} FROM r WHERE i = 1
+  UNION ALL
+  SELECT g, i, list_min([e0, {insert('f2', 'user')}]), list_min([e1, {insert('f2', 'user')}]), f2, f3 FROM (
+    SELECT *, list_min([e2, {insert('e3', 'assistant')}]) AS f2, list_min([e3, {insert('e2', 'user')}]) AS f3 FROM (
+      SELECT r.g, r.i, {', '.join(map(row, range(4)))} FROM best JOIN r ON r.g = best.g AND r.i = best.i - 1))
+), sums AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE bare = '') AS blank, count(*) FILTER (WHERE bare <> '' AND again) AS duplicate, count(*) FILTER (WHERE fault = 1) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY g
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM t) c LEFT JOIN sums ON sums.g = c.g LEFT JOIN best ON best.g = c.g AND best.i = 1
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_pivots": """
 WITH RECURSIVE v AS (
@@ -189,4 +234,5 @@ WITH RECURSIVE r AS (
 ), way(word, target) AS (SELECT word, word FROM w UNION SELECT way.word, steps.goal FROM way JOIN steps ON steps.source = way.target)
 SELECT formed.*, way.target AS root FROM formed JOIN way ON way.word = formed.word JOIN formed AS f ON f.word = way.target WHERE f.form IS NULL
 """,
+    "op13_repair": _repair_sql(),
 }
