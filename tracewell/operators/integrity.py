@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from decimal import Decimal
 
 import pandas as pd
@@ -62,18 +63,19 @@ def duplicate_ids(receipts: DataFrame, by: str = "pack_id", order: str = "line_n
     return receipts.where("receipt_id <> ''").select(by, order, "receipt_id").withColumn("nth", F.row_number().over(nth)).where("nth > 1")
 
 
-def monotonic(receipts: DataFrame, by: str = "pack_id", order: str = "line_no") -> DataFrame:
-    """Receipts whose timestamp, as text, is less than that of the one before."""
-    before = F.lag("timestamp").over(Window.partitionBy(by).orderBy(order))
-    rows = receipts.where("timestamp <> ''").select(by, order, "receipt_id", "timestamp").withColumn("before", before)
+def monotonic(receipts: DataFrame, by: str = "pack_id", order: str = "line_no", ties: Sequence[str] = ()) -> DataFrame:
+    """Receipts whose timestamp, as text, is less than that of the one before; ``ties`` order receipts of one place."""
+    before = F.lag("timestamp").over(Window.partitionBy(by).orderBy(order, *ties))
+    rows = receipts.where("timestamp <> ''").withColumn("before", before)
     return rows.where("timestamp < before").select(by, order, "receipt_id")
 
 
-def trace_findings(receipts: DataFrame, by: str = "trace_id", order: str = "seq", need_id: bool = False) -> DataFrame:
-    """(by, order, level, finding) of every trace: missing type, duplicate or missing id, times that go back or can't be read."""
+def trace_findings(receipts: DataFrame, by: str = "trace_id", order: str = "seq", need_id: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """(by, order, level, finding) of every trace: missing type, duplicate or missing id, times that go back or can't be read.
+    ``ties`` order receipts of one place."""
     rows = receipts.withColumn("at", parse_time(F.col("timestamp")))
-    sofar = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    nth = Window.partitionBy(by, "receipt_id").orderBy(order)
+    sofar = Window.partitionBy(by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    nth = Window.partitionBy(by, "receipt_id").orderBy(order, *ties)
     rows = rows.withColumn("last", F.last("at", ignorenulls=True).over(sofar)).withColumn("nth", F.row_number().over(nth))
     has_id = F.coalesce(F.col("receipt_id") != "", F.lit(False))
     finding = lambda when, level, text: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(text).alias("finding")))
