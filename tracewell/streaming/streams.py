@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,36 +102,67 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
-def open_lifecycles(events: DataFrame, timeout: float, late: str = "10 minutes") -> DataFrame:
+_LIFECYCLES = pa.schema([("key", pa.string()), ("opened", pa.int64()), ("n", pa.int64()), ("last_type", pa.string()), ("last_at", pa.int64()), ("closed", pa.bool_()), ("due", pa.int64())])
+#: Stands for no opening.
+_NEVER = np.iinfo(np.int64).min
+
+
+def open_lifecycles(events: DataFrame, timeout: float, late: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """(key, opened_at, receipts, last_type, last_at) of lifecycles that stay open for ``timeout`` seconds of event time.
 
     events: key (text), type, step (``open``, ``close`` or null) and ts. A key's first opening starts it, all its receipts from then on
     count, and a close ends it whenever it comes before the timer: only then nothing is reported. The state of a key is
     one row; its timer is the opening and ``timeout``, and it goes when the watermark passes that. Rows of a batch
     are taken by time; ties put openings first.
+
+    Keys are dealt over ``buckets`` by hash; a bucket's keys are one group, taken together in columns, and its timer is the
+    earliest of theirs. So very many keys cost few calls; a task holds one bucket's keys and new rows at a time.
     """
 
     def step(found: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, n, last_type, last_at, closed = state.get if state.exists else (None, 0, None, None, False)
-        if state.hasTimedOut:
+        now, timed_out = state.getCurrentWatermarkMs(), state.hasTimedOut
+        known = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else _LIFECYCLES.empty_table()
+        given = [] if timed_out else list(batches)
+        rows = pd.concat(given) if given else pd.DataFrame({"key": [], "type": [], "step": [], "at": []})
+        m = known.num_rows
+        codes, keys = pd.factorize(np.concatenate([known["key"].to_numpy(), rows["key"].to_numpy(object)]), use_na_sentinel=False)
+        held = lambda name, blank: np.concatenate([known[name].to_numpy(), np.full(len(keys) - m, blank)])
+        opened, n, last_type, last_at, closed, due = held("opened", _NEVER), held("n", 0), held("last_type", None), held("last_at", 0), held("closed", False).astype(bool), held("due", 0)
+        at, kind, what = rows["at"].to_numpy(np.int64), rows["type"].to_numpy(object), rows["step"].to_numpy(object)
+        order = np.lexsort((what != "open", at, codes[m:]))
+        key, at, kind, what = codes[m:][order], at[order], kind[order], what[order]
+        # of each key's new rows, in order, the first and the last
+        new = np.concatenate([key[1:] != key[:-1], [True]])[: len(key)]
+        last = np.flatnonzero(new)
+        first = np.concatenate([[0], last[:-1] + 1])[: len(last)].astype(int)
+        touched, was = key[last], opened != _NEVER
+        starts = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(starts, key[what == "open"], at[what == "open"])
+        opened = np.where(~was & (starts < np.iinfo(np.int64).max), starts, opened)
+        counts = (opened[key] != _NEVER) & (was[key] | (at >= opened[key]))
+        n = n + np.bincount(key[counts], minlength=len(keys))
+        ended = last[opened[touched] != _NEVER]
+        last_type[key[ended]], last_at[key[ended]] = kind[ended], at[ended]
+        closed[key[what == "close"]] = True
+        base = np.where(opened[touched] != _NEVER, opened[touched], at[first])
+        due[touched] = np.maximum((base / 1000 + timeout * 1000).astype(np.int64), now + 1)
+        over = due < now
+        out = over & (opened != _NEVER) & ~closed
+        stay = ~over
+        if stay.any():
+            columns = [keys[stay], opened[stay], n[stay], last_type[stay], last_at[stay], closed[stay], due[stay]]
+            table = pa.Table.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _LIFECYCLES, strict=True)], schema=_LIFECYCLES)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _LIFECYCLES) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(int(due[stay].min()))
+        else:
             state.remove()
-            if opened is not None and not closed:
-                yield pd.DataFrame({"key": [found[0]], "opened_us": [opened], "receipts": [n], "last_type": [last_type], "last_us": [last_at]})
-            return
-        rows = pd.concat(list(batches))
-        rows = rows.assign(rank=(rows["step"] != "open").astype(int)).sort_values(["at", "rank"], kind="stable")
-        first = opened
-        for kind, what, at in zip(rows["type"], rows["step"], rows["at"], strict=True):
-            first = int(at) if first is None else first
-            if what == "open" and opened is None:
-                opened = int(at)
-            if opened is not None:
-                n, last_type, last_at = n + 1, kind, int(at)
-            closed = closed or what == "close"
-        state.update((opened, n, last_type, last_at, closed))
-        due = int((opened if opened is not None else first) / 1000 + timeout * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    rows = events.withWatermark("ts", late).select("key", "type", "step", "ts", F.unix_micros("ts").alias("at"))
-    out = rows.groupBy("key").applyInPandasWithState(step, "key string, opened_us long, receipts long, last_type string, last_us long", "opened long, n long, last_type string, last_at long, closed boolean", "append", "EventTimeTimeout")
+        if out.any():
+            yield pd.DataFrame({"key": keys[out], "opened_us": opened[out], "receipts": n[out], "last_type": last_type[out], "last_us": last_at[out]})
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = events.withWatermark("ts", late).select(bucket, "key", "type", "step", "ts", F.unix_micros("ts").alias("at"))
+    out = rows.groupBy("bucket").applyInPandasWithState(step, "key string, opened_us long, receipts long, last_type string, last_us long", "kept binary", "append", "EventTimeTimeout")
     return out.select("key", F.timestamp_micros("opened_us").alias("opened_at"), "receipts", "last_type", F.timestamp_micros("last_us").alias("last_at"))
