@@ -101,39 +101,45 @@ def _tokens(files: DataFrame, key: list[str]) -> DataFrame:
     return token.where(~F.col("broken") & (F.col("kind") != "space") & ~((F.col("kind") == "end") & (F.col("depth") > 0))).drop("broken")
 
 
-def _calls(token: DataFrame, key: list[str]) -> DataFrame:
-    """Tokens with `call`, the dotted name called there (null elsewhere), and `line` of the expression's start.
+def _calls(token: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Opening brackets with `call`, the dotted name called there (null elsewhere), and `line` of the expression's start.
 
-    What follows a closed call, or brackets without a name, begins a name anew; a subscript in between is passed over."""
+    What follows a closed call, or brackets without a name, begins a name anew; a subscript in between is passed over.
+    All other tokens go before anything is sorted again."""
     t = F.col("t")
     order = Window.partitionBy(*key).orderBy("at")
     token = token.withColumn("was", F.lag("kind").over(order))
     # adjacent strings are one, from the first one's line
     begun = F.when((F.col("kind") == "string") & (F.coalesce("was", F.lit("")) != "string"), F.col("line"))
     token = token.withColumn("string_line", F.last(begun, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    opens = F.col("kind") == "open"
     names = F.regexp_replace(F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - 1), r"#[^\n]*", ""), r"(?U)[\s\\]+", "")
     names = F.regexp_replace(names, r"^\.", "")
-    plain = opens & ~t.rlike(r"(?U)^(?:def|class)[ \t]+\w") & (names != "") & ~names.isin(*KEYWORDS)
-    goes_on = opens & (F.col("was") == "close") & (F.startswith(t, F.lit(".")) | t.isin("(", "["))
-    token = token.withColumn("names", F.when(plain, names)).withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+    plain = ~t.rlike(r"(?U)^(?:def|class)[ \t]+\w") & (names != "") & ~names.isin(*KEYWORDS)
+    goes_on = F.coalesce((F.col("was") == "close") & (F.startswith(t, F.lit(".")) | t.isin("(", "[")), F.lit(False))
     start = F.when(F.startswith(t, F.lit(".")) & (F.col("was") == "string"), F.col("string_line")).otherwise(F.col("line"))
+    opens = token.where("kind = 'open'").select(*key, *carry, "at", "depth", F.when(plain, names).alias("names"), goes_on.alias("goes_on"), start.alias("start"), (F.right(t, F.lit(1)) == "(").alias("round"))
     # openers of one depth, in order: a chain follows itself without a gap there
-    level = Window.partitionBy(*key, "kind", "depth").orderBy("at")
+    level = Window.partitionBy(*key, "depth").orderBy("at")
     upto = level.rowsBetween(Window.unboundedPreceding, 0)
-    token = token.withColumn("start", F.last(F.when(opens & ~F.col("goes_on"), start), True).over(upto))
-    anew = opens & (~F.col("goes_on") | (F.right(F.lag("t").over(level), F.lit(1)) == "("))
-    token = token.withColumn("part", F.sum(F.when(anew, 1).otherwise(0)).over(upto))
-    piece = Window.partitionBy(*key, "kind", "depth", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.array_join(F.collect_list(F.when(opens, F.col("names"))).over(piece), ".")
-    return token.withColumn("call", F.when(opens & (F.right(t, F.lit(1)) == "("), F.nullif(name, F.lit("")))).withColumn("line", F.when(opens, F.col("start")).otherwise(F.col("line")))
+    opens = opens.withColumn("line", F.last(F.when(~F.col("goes_on"), F.col("start")), True).over(upto))
+    anew = ~F.col("goes_on") | F.lag("round").over(level)
+    opens = opens.withColumn("part", F.sum(F.when(anew, 1).otherwise(0)).over(upto)).drop("goes_on", "start")
+    piece = Window.partitionBy(*key, "depth", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.array_join(F.collect_list("names").over(piece), ".")
+    return opens.withColumn("call", F.when(F.col("round"), F.nullif(name, F.lit("")))).drop("names", "round", "part")
+
+
+#: A file's tokens take many times its text, so files are dealt over so many times the partitions of a shuffle,
+#: a number that Spark does not make smaller by the size of the texts.
+SPREAD = 4
 
 
 def _distinct(files: DataFrame) -> tuple[DataFrame, list[str]]:
     key = ["repo", "path", "digest"]
     text = F.regexp_replace("content", "\r\n?", "\n")
-    rows = files.where("content is not null").select("repo", "path", text.alias("content"), F.sha2(F.col("content").cast("string"), 256).alias("digest"))
-    return rows.groupBy(*key).agg(F.any_value("content").alias("content")), key
+    rows = files.where("content is not null").select("repo", "path", text.alias("content"), F.unhex(F.sha2(F.col("content").cast("string"), 256)).alias("digest"))
+    parts = SPREAD * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *key).distinct(), key
 
 
 def all_calls(files: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def scan(files: DataFrame, package: str = "tracewell") -> DataFrame:
     otherwise as `all_calls`."""
     parts = sorted({p.split(".")[-1] for p, _, _ in PATTERNS} | {g.split(".")[-1] for g in GUARDED} | set(NAMES))
     rows, key = _distinct(files.where(F.col("content").rlike("(?i)" + "|".join(parts))))
-    token = _calls(_tokens(rows, key), key)
+    token = _tokens(rows, key)
     text = F.regexp_replace(F.regexp_replace("t", r"#[^\n]*", ""), r"\\\n", " ")
     module = F.regexp_replace(F.regexp_extract(text, r"(?U)^from[ \t]+([.\w]+)", 1), r"^\.+", "")
     named = lambda tail: F.regexp_extract_all(tail, F.lit(r"(?U)([\w.*]+)(?:\s+as\s+\w+)?"), F.lit(1))
@@ -185,16 +191,20 @@ def scan(files: DataFrame, package: str = "tracewell") -> DataFrame:
     marks = (*EMITTERS, *(f"{package}.integrations.{i}" for i in INTEGRATIONS))
     under = lambda n: n.rlike("^(?:" + "|".join(f.replace(".", r"\.") for f in FRAMEWORKS) + r")(?:\.|$)")
     is_import = F.col("kind") == "import"
-    last = F.element_at(F.split("call", r"\."), -1)
     whole = Window.partitionBy(*key)
-    marked = (is_import & F.exists(full, lambda n: _any(n, marks))) | F.coalesce(last.isin(*EMITTERS), F.lit(False))
+    marked = is_import & F.exists(full, lambda n: _any(n, marks))
     framed = is_import & F.when(from_, under(module)).otherwise(F.exists(imported, under))
-    token = token.withColumn("instrumented", F.max(marked).over(whole)).withColumn("framed", F.max(framed).over(whole)).where("call is not null")
+    token = token.withColumn("marked", F.max(marked).over(whole)).withColumn("framed", F.max(framed).over(whole))
+    token = _calls(token, key, ("marked", "framed")).where("call is not null")
+    last = F.element_at(F.split("call", r"\."), -1)
     found = F.lit(None).cast("struct<confidence:string,framework:string>")
     for p, confidence, framework in PATTERNS:
         found = F.coalesce(found, F.when(F.contains("call", F.lit(p)), F.struct(F.lit(confidence).alias("confidence"), F.lit(framework).alias("framework"))))
     guarded = F.struct(F.lit("medium").alias("confidence"), F.lit("langchain").alias("framework"))
     low = F.struct(F.lit("low").alias("confidence"), F.lit("").alias("framework"))
     found = F.when(found.isNotNull(), found).when(_any(F.col("call"), GUARDED), F.when(F.col("framed"), guarded)).when(F.lower(last).isin(*NAMES), low)
-    out = token.withColumn("found", found).where("found is not null")
+    emits = F.coalesce(last.isin(*EMITTERS), F.lit(False))
+    # only calls that are told, or that mark their file, are sorted by file again
+    out = token.withColumn("found", found).withColumn("emits", emits).where("found is not null or emits")
+    out = out.withColumn("instrumented", F.max(F.col("marked") | F.col("emits")).over(whole)).where("found is not null")
     return out.select("repo", "path", "line", "call", "found.confidence", "found.framework", "instrumented", F.when(~F.col("instrumented"), suggested_fix(F.col("call"), package)).alias("fix"), provider(F.col("call")).alias("provider"))
