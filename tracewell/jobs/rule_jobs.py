@@ -95,8 +95,7 @@ def coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every receipt's proof within its run, checked against the run's root."""
     leaves = receipts(spark, sf_dir).select("trace_id", "seq", F.sha2(F.concat("receipt_id", F.lit(":"), "seq"), 256).alias("leaf"))
-    roots = integrity.merkle_roots(leaves, "trace_id", "seq", "leaf")
-    rows = integrity.merkle_proofs(leaves, "trace_id", "seq", "leaf").join(roots, "trace_id")
+    rows = integrity.rooted_proofs(leaves, "trace_id", "seq", "leaf")
     return rows.select("trace_id", "place", "leaf", F.size("proof").alias("steps"), F.get("proof", F.lit(0)).alias("sibling"), integrity.merkle_included(F.col("leaf"), F.col("proof"), F.col("root"), F.col("place")).alias("included"))
 
 

@@ -140,24 +140,55 @@ def merkle_roots(leaves: DataFrame, by: str, order: str, leaf: str, checkpoint_e
     return level.select(by, F.col("h").alias("root")).join(sizes, by)
 
 
-def merkle_proofs(leaves: DataFrame, by: str, order: str, leaf: str) -> DataFrame:
-    """(by, place, leaf, proof): each leaf's siblings from its level up to the root, as hex.
+#: Levels of a tree that are made within one row: a block of 2 ** BITS nodes.
+BITS = 8
 
-    Leaf by leaf, a proof has as many siblings as its group's size has bits; every round looks up one sibling by an
-    equi-join on (group, place) and is written before the next."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    level = settle(leaves.select(by, place.alias("i"), F.col(leaf).alias("h")))
-    proofs = level.select(by, F.col("i").alias("place"), F.col("h").alias("leaf"), F.col("i").cast("long").alias("at"), F.array().cast("array<string>").alias("proof"))
-    rounds = ((level.groupBy(by).count().agg(F.max("count")).first()[0] or 1) - 1).bit_length()
-    for _ in range(rounds):
-        width = F.count("*").over(Window.partitionBy(by))
-        pairs = level.withColumn("w", width).where("w > 1").groupBy(by, F.floor(F.col("i") / 2).alias("j")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
-        pairs = settle(pairs)
-        proofs = proofs.withColumn("j", F.floor(F.col("at") / 2)).join(pairs, [by, "j"], "left")  # groups that are one node already find none
-        sibling = F.when(F.col("at") % 2 == 0, F.col("b")).otherwise(F.col("a"))
-        proofs = proofs.select(by, "place", "leaf", F.col("j").alias("at"), F.when(F.col("a").isNull(), F.col("proof")).otherwise(F.concat("proof", F.array(sibling))).alias("proof"))
-        level = pairs.select(by, F.col("j").alias("i"), F.sha2(F.concat(F.unhex("a"), F.unhex("b")), 256).alias("h"))
-    return proofs.drop("at")
+
+def _tree_levels(nodes: Column, levels: Column) -> Column:
+    """A block's nodes and what they come to, as many levels up as given; a last one without a neighbour pairs with itself."""
+    pair = lambda below, j: F.sha2(F.concat(F.unhex(F.get(below, 2 * j)), F.unhex(F.coalesce(F.get(below, 2 * j + 1), F.get(below, 2 * j)))), 256)
+    above = lambda below: F.transform(F.sequence(F.lit(0), F.floor((F.size(below) - 1) / 2).cast("int")), lambda j: pair(below, j))
+    steps = F.filter(F.sequence(F.lit(1), F.lit(BITS)), lambda k: k <= levels)
+    return F.aggregate(steps, F.array(nodes), lambda made, k: F.concat(made, F.array(above(F.element_at(made, -1)))))
+
+
+def merkle_proofs(leaves: DataFrame, by: str, order: str, leaf: str) -> DataFrame:
+    """(by, place, leaf, proof) of ``rooted_proofs``."""
+    return rooted_proofs(leaves, by, order, leaf).drop("root")
+
+
+def rooted_proofs(leaves: DataFrame, by: str, order: str, leaf: str) -> DataFrame:
+    """(by, place, leaf, proof, root): each leaf's siblings from its level up to the root, as hex.
+
+    Leaf by leaf, a proof has as many siblings as its group's size has bits. A row holds a block of 2 ** BITS neighbours,
+    of which the proofs within the block are made at once; the roots of a group's blocks are leaves of a tree of their own,
+    whose proofs come after. So leaves move twice, whatever the depth, and no proof moves."""
+    places = Window.partitionBy(by)
+    level = leaves.select(by, (F.row_number().over(places.orderBy(order)) - 1).cast("long").alias("i"), F.col(leaf).alias("h"), F.count("*").over(places).alias("w"))
+    several = F.col("w") > 1 << BITS
+    levels = F.when(several, BITS).otherwise(F.when(F.col("w") > 1, F.length(F.bin(F.col("w") - 1))).otherwise(0))
+    block = F.floor(F.col("i") / (1 << BITS)).alias("block")
+    passes = []
+    while True:
+        packed = level.groupBy(by, block, "w").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("x"))
+        packed = settle(packed.select(by, "block", "w", F.col("x.h").alias("nodes")))
+        passes.append(packed)
+        more = packed.where(several)
+        if more.isEmpty():
+            break
+        level = more.select(by, F.col("block").alias("i"), F.get(F.element_at(_tree_levels(F.col("nodes"), F.lit(BITS)), -1), F.lit(0)).alias("h"), F.ceil(F.col("w") / (1 << BITS)).cast("long").alias("w"))
+    above = None
+    for packed in reversed(passes):
+        rows = packed.withColumn("levels", _tree_levels(F.col("nodes"), levels))
+        if above is None:
+            rows = rows.withColumn("rest", F.array().cast("array<string>")).withColumn("root", F.get(F.element_at("levels", -1), F.lit(0)))
+        else:
+            rows = rows.join(above, [by, "block"], "left").withColumn("rest", F.coalesce("rest", F.array())).withColumn("root", F.coalesce("root", F.get(F.element_at("levels", -1), F.lit(0))))
+        near = lambda i: F.transform(F.slice("levels", 1, F.size("levels") - 1), lambda made, k: F.coalesce(F.get(made, F.call_function("shiftright", i, k).bitwiseXOR(F.lit(1))), F.get(made, F.call_function("shiftright", i, k))))
+        each = F.transform("nodes", lambda h, i: F.struct((F.col("block") * (1 << BITS) + i).alias("place"), h.alias("leaf"), F.concat(near(i), "rest").alias("proof")))
+        found = rows.select(by, "root", F.explode(each).alias("x")).select(by, "x.*", "root")
+        above = found.select(by, F.col("place").alias("block"), F.col("proof").alias("rest"), "root")
+    return found
 
 
 def merkle_included(leaf: Column, proof: Column, root: Column, place: Column) -> Column:
