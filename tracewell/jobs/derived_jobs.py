@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import settle
 from ..operators import derived, textgate
 from .text_jobs import _CHUNKS
 from .views import table
@@ -14,7 +15,8 @@ def derivation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a snapshot, each chunk of eight lines an artifact with a receipt; every document of several chunks
     has a digest made from its first two. By rule, texts, hashes, ids, indexes, inputs, kinds, transforms are spoilt."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    chunks = textgate.line_chunks(docs.select("doc_id", "text"), 8).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "sha256")
+    # chunks and rows are written, as receipts and artifacts are read for many joins
+    chunks = settle(textgate.line_chunks(docs.select("doc_id", "text"), 8).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "sha256"))
     d, n = F.col("doc_id"), F.col("chunk")
     x = d + n
     snapshots = docs.where(d % 37 != 3).select(F.concat(F.lit("s"), d).alias("snapshot_id"), F.concat(F.lit("sha256:"), F.sha2(F.when(d % 23 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256)).alias("content_hash"), F.when(d % 41 != 3, F.col("text")).alias("content_text"))
@@ -32,7 +34,7 @@ def derivation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit('{"derivation_verification_level":"DV2","input_artifact_ids":'), quoted(F.col("inputs")), F.lit(',"kind":"'), kind, F.lit('","metadata":{"receipt_schema_version":"'), F.when(y % 71 == 3, "2").otherwise("1"), F.lit('"'), claimed, F.lit('},"output_hash":"'), said)
     tail = F.concat(F.lit('","source_snapshot_ids":'), quoted(sources), F.lit(',"status":"verified","subject_id":"'), "id", F.lit('","transform_id":"'), "transform", F.lit('"}'))
     rid = F.concat(F.lit("drcpt_"), F.substring(F.sha2(F.concat(head, tail, F.when(y % 73 == 3, "x").otherwise("")), 256), 1, 24))
-    rows = every.withColumn("head", head).withColumn("tail", tail).withColumn("rid", rid).withColumn("kind", kind)
+    rows = settle(every.withColumn("head", head).withColumn("tail", tail).withColumn("rid", rid).withColumn("kind", kind))
     raw = F.when(y % 79 == 3, "[1]").when(y % 83 == 3, F.concat("head", "tail")).otherwise(F.concat(F.lit('{"created_at":"c","receipt_id":"'), "rid", F.lit('",'), F.expr("substr(head, 2)"), "tail"))
     receipts = rows.select(F.col("rid").alias("receipt_id"), "kind", F.col("id").alias("subject_id"), F.lit("DV2").alias("level"), F.when(y % 89 == 3, "failed").otherwise("verified").alias("status"), F.lit("c").alias("created_at"), raw.alias("raw"))
     artifacts = rows.where("x % 97 <> 3").select(F.col("id").alias("artifact_id"), "artifact_type", F.col("snapshot").alias("source_snapshot_id"), F.when((F.size("inputs") > 0) & (y % 13 == 3), F.slice("inputs", 1, 1)).otherwise(F.col("inputs")).alias("input_artifact_ids"), F.col("transform").alias("transform_id"), F.col("hash").alias("output_hash"), F.when(y % 101 == 3, "drcpt_other").otherwise(F.col("rid")).alias("receipt_id"), F.when(y % 11 == 3, "stale").otherwise("active").alias("status"), F.lit(8).cast("long").alias("max_lines"), F.col("index").alias("chunk_index"))
