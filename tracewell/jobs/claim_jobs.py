@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import settle
 from ..operators import claim_artifacts
 from .views import table
 
@@ -48,7 +49,8 @@ def claim_artifact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chain_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     i = table(spark, sf_dir, "lineitem")
     line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    base = i.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("chain_id"), line.alias("line_no")).agg(F.min("l_partkey").alias("p"), F.min("l_orderkey").alias("k"), F.min("l_linenumber").alias("n"))
+    # written, as each table of it is read for many joins
+    base = settle(i.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("chain_id"), line.alias("line_no")).agg(F.min("l_partkey").alias("p"), F.min("l_orderkey").alias("k"), F.min("l_linenumber").alias("n")))
     return {t: base.where(f"n % 4 = {m}").selectExpr(*_split(text)).withColumn("ts", F.timestamp_seconds("ts")) for m, (t, text) in enumerate(_CHAINS.items())}
 
 
