@@ -20,13 +20,13 @@ def resolve_pointer(value: Column, pointer: Column) -> Column:
     pointer = F.coalesce(pointer, F.lit(""))
     tokens = F.filter(F.split(pointer, F.when(F.startswith(pointer, F.lit("/")), F.lit("/")).otherwise(F.lit("[.]"))), lambda t: t != "")
     clean = F.transform(tokens, lambda t: F.replace(F.replace(t, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
-    kind = lambda v: F.schema_of_variant(v)
-    get = lambda v, path: F.try_variant_get(v, path, "variant")
+    digits = "^[0-9]{1,9}$"
 
     def step(v: Column, t: Column) -> Column:
-        item = F.when(t.rlike("^[0-9]{1,9}$"), get(v, F.concat(F.lit("$["), F.when(t.rlike("^[0-9]{1,9}$"), t.cast("int")).otherwise(0), F.lit("]"))))
-        name = F.when(~F.contains(t, F.lit('"')), get(v, F.concat(F.lit('$["'), F.replace(t, F.lit('"'), F.lit("")), F.lit('"]'))))
-        return F.when(F.startswith(kind(v), F.lit("ARRAY")), item).when(F.startswith(kind(v), F.lit("OBJECT")), name)
+        # what is no list has no item, and what is no object has no member
+        item = F.when(t.rlike(digits), F.get(F.try_variant_get(v, "$", "array<variant>"), F.when(t.rlike(digits), t.cast("int")).otherwise(0)))
+        name = F.when(~F.contains(t, F.lit('"')), F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), t))
+        return F.coalesce(item, name)
 
     return F.aggregate(clean, value, step)
 
@@ -57,7 +57,8 @@ def resolve_refs(refs: DataFrame, packs: DataFrame, receipts: DataFrame, files:
         .when(F.col("found").isNull(), "target_pointer_not_found")
         .otherwise("ok")
     )
-    kind = F.schema_of_variant("found")
+    rows = rows.withColumn("schema", F.schema_of_variant("found"))
+    kind = F.col("schema")
     kind = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), "number").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").when(F.startswith(kind, F.lit("ARRAY")), "array").when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("null")
     rows = rows.withColumn("status", status).withColumn("value_type", F.when(F.col("status") == "ok", kind)).withColumn("number", F.when(F.col("value_type") == "number", F.try_variant_get("found", "$", "double")))
     word = F.lower(F.regexp_replace(F.try_variant_get("found", "$", "string"), r"(?U)^\s+|\s+$", ""))
