@@ -100,12 +100,16 @@ def result_fingerprints(results: DataFrame, by: str, policy_hash: str = "", suit
     return rows.select(by, canonical_digest(F.struct(F.lit(policy_hash).alias("policy_hash"), F.lit(suite_hash).alias("suite_hash"), "results")).alias("fingerprint"))
 
 
-def _strip(text: Column, what: str = r"\s") -> Column:
-    return F.regexp_replace(text, f"(?U)^{what}+|{what}+$", "")
+# Fixed value: the characters of Unicode's property White_Space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _strip(text: Column, what: str = _WHITE) -> Column:
+    return F.btrim(text, F.lit(what))
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(_strip(line, r"\|"), r"\|", -1), lambda x: _strip(x))
+    return F.transform(F.split(_strip(line, "|"), r"\|", -1), lambda x: _strip(x))
 
 
 def matrix_rows(packets: DataFrame, lines: Column, key: str = "packet_id") -> DataFrame:
@@ -117,14 +121,17 @@ def matrix_rows(packets: DataFrame, lines: Column, key: str = "packet_id") -> Da
     in_table, open_ended = (lambda x: x.startswith("|")), (lambda x: x.startswith("|") & ~x.endswith("|"))
     header = F.array(*map(F.lit, MATRIX))
     rows = packets.select(key, F.filter(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x: _strip(x)), lambda x: x != "").alias("l"))
-    rows = rows.withColumn("at", F.coalesce(F.array_position(F.transform("l", lambda x: in_table(x) & ~open_ended(x) & (_cells(x) == header)), True), F.lit(0)).cast("int"))
+    # each line's cells are cut once; none of a line outside of a table
+    rows = rows.select(key, F.transform("l", lambda x: F.struct(in_table(x).alias("within"), open_ended(x).alias("opened"), F.when(in_table(x), _cells(x)).alias("cells"))).alias("l"))
+    is_header = lambda x: x["within"] & ~x["opened"] & (x["cells"] == header)
+    rows = rows.withColumn("at", F.coalesce(F.array_position(F.transform("l", is_header), True), F.lit(0)).cast("int"))
     above = F.when(F.col("at") > 0, F.slice("l", F.lit(1), F.col("at") - 1)).otherwise(F.col("l"))
-    rows = rows.withColumn("body", F.when(F.col("at") > 0, F.filter(F.slice("l", F.col("at") + 2, F.size("l")), in_table)))
-    fault = F.array_compact(F.transform("body", lambda x: F.when(open_ended(x), "invalid row").when(F.size(_cells(x)) != len(MATRIX), "wrong column count")))
-    problem = F.when(F.exists(above, open_ended), "invalid row").when(F.col("at") == 0, "missing header").when(F.size("body") == 0, "no rows").otherwise(F.get(fault, F.lit(0)))
+    rows = rows.withColumn("body", F.when(F.col("at") > 0, F.filter(F.slice("l", F.col("at") + 2, F.size("l")), lambda x: x["within"])))
+    fault = F.array_compact(F.transform("body", lambda x: F.when(x["opened"], "invalid row").when(F.size(x["cells"]) != len(MATRIX), "wrong column count")))
+    problem = F.when(F.exists(above, lambda x: x["opened"]), "invalid row").when(F.col("at") == 0, "missing header").when(F.size("body") == 0, "no rows").otherwise(F.get(fault, F.lit(0)))
     rows = rows.withColumn("problem", problem)
     names = ["question", "status", "evidence", "scope", "notes"]
-    out = rows.select(key, "problem", F.posexplode_outer(F.when(F.col("problem").isNull(), F.transform("body", _cells))).alias("row", "c"))
+    out = rows.select(key, "problem", F.posexplode_outer(F.when(F.col("problem").isNull(), F.transform("body", lambda x: x["cells"]))).alias("row", "c"))
     return out.select(key, "problem", "row", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
