@@ -14,3 +14,12 @@ def test_cells_are_cut_once(spark):
     rows = records.matrix_rows(df, F.col("lines"))
     assert _plan(rows).count("split(") == 1 and "regexp_replace" not in _plan(rows)
     assert [tuple(r) for r in rows.collect()] == [("a", None, 0, "q", "LOST", "`f`", "", "\x1fn")]
+
+
+def test_rows_are_not_made_for_each_check(spark):
+    df = spark.createDataFrame([("a", [*HEAD, "| q | EVIDENCED | f and g | s | n |", "| r | LOST | | | |"])], "packet_id string, lines array<string>")
+    scope = spark.createDataFrame([("a", "z", False)], "packet_id string, question string, out boolean")
+    files = spark.createDataFrame([("a", "f")], "packet_id string, path string")
+    found = records.coverage_rows_check(records.matrix_rows(df, F.col("lines")), scope, files)
+    assert "posexplode" not in _plan(found)
+    assert {tuple(r)[1:] for r in found.collect()} == {(0, "in-scope row not declared", "q"), (0, "evidence missing", "g"), (1, "unknown status", "LOST")}

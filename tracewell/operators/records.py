@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stages import settle
 from .integrity import canonical_json
 
 # Fields that a decision must have, and the values that others may have.
@@ -147,8 +148,10 @@ def coverage_rows_check(rows: DataFrame, scope: DataFrame, files: DataFrame, key
     files of evidence that are not there.
 
     scope: (key, question, out) with out true if it is declared as out of scope; a packet that declares none of a
-    kind allows all. files: (key, path). What comes after "#" in a reference is not followed."""
-    rows = rows.where("row is not null")
+    kind allows all. files: (key, path). What comes after "#" in a reference is not followed.
+
+    The rows are written once and not made anew for each of the three checks."""
+    rows = settle(rows.where("row is not null").select(key, "row", "question", "status", "evidence"))
     known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
     out = rows.where(~known).select(key, "row", F.lit("unknown status").alias("error"), F.col("status").alias("what"))
     asked = rows.where(known).select(key, "row", "question", (F.col("status") == "OUT_OF_SCOPE").alias("out"))
