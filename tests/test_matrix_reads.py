@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from tracewell.operators import records
@@ -23,3 +26,14 @@ def test_rows_are_not_made_for_each_check(spark):
     found = records.coverage_rows_check(records.matrix_rows(df, F.col("lines")), scope, files)
     assert "posexplode" not in _plan(found)
     assert {tuple(r)[1:] for r in found.collect()} == {(0, "in-scope row not declared", "q"), (0, "evidence missing", "g"), (1, "unknown status", "LOST")}
+
+
+def test_plain_results_are_canonical_without_python(spark, monkeypatch):
+    rows = [("p", "b", True, "x/", "1", None), ("p", "a", False, "y", None, "s"), ("q", "a", True, "é", "\\", None)]
+    df = spark.createDataFrame(rows, "pack string, claim_id string, passed boolean, expected string, actual string, severity string")
+    names = ["claim_id", "passed", "expected", "actual", "severity"]
+    of = lambda pack: {"policy_hash": "", "results": [dict(zip(names, r[1:])) for r in sorted(rows, key=lambda r: r[1]) if r[0] == pack], "suite_hash": ""}
+    want = {p: hashlib.sha256(json.dumps(of(p), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest() for p in "pq"}
+    assert {r.pack: r.fingerprint for r in records.result_fingerprints(df, "pack").collect()} == want
+    monkeypatch.setattr(records, "canonical_json", lambda raw: F.when(raw == "", raw))
+    assert {r.pack: r.fingerprint for r in records.result_fingerprints(df, "pack").collect()} == {"p": want["p"], "q": None}

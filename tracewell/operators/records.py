@@ -96,9 +96,14 @@ def result_fingerprints(results: DataFrame, by: str, policy_hash: str = "", suit
     """(by, fingerprint): digest of each group's claim results in the order of their ids, under a policy and suite.
 
     A group's results are as many as the claims that are declared; they become one value."""
-    one = F.struct("claim_id", "passed", "expected", "actual", "severity")
-    rows = results.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("results"))
-    return rows.select(by, canonical_digest(F.struct(F.lit(policy_hash).alias("policy_hash"), F.lit(suite_hash).alias("suite_hash"), "results")).alias("fingerprint"))
+    names = ["claim_id", "passed", "expected", "actual", "severity"]
+    rows = results.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("results"))
+    ordered = F.transform("results", lambda x: F.struct(*[x[n].alias(n) for n in sorted(names)]))
+    text = F.to_json(F.struct(F.lit(policy_hash).alias("policy_hash"), ordered.alias("results"), F.lit(suite_hash).alias("suite_hash")), {"ignoreNullFields": "false"})
+    rows = rows.select(by, text.alias("raw"))
+    # names stand in order, so a text without escapes is canonical as it is; numbers have a canonical form of their own
+    plain = F.col("raw").rlike(r"^[\x20-\x5b\x5d-\x7e]*$") if all(isinstance(results.schema[n].dataType, (T.StringType, T.BooleanType)) for n in names) else F.lit(False)
+    return rows.select(by, F.sha2(F.coalesce(F.when(plain, F.col("raw")), canonical_json(F.when(~plain, F.col("raw")))), 256).alias("fingerprint"))
 
 
 # Fixed value: the characters of Unicode's property White_Space.
