@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import settle
 from ..operators import packs
 from .views import table
 
@@ -69,11 +70,12 @@ def pack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.verify(pack_files(spark, sf_dir), NOW, max_age_hours=AGE)
+    # written, as each check of a pack reads its files anew
+    return packs.verify(settle(pack_files(spark, sf_dir)), NOW, max_age_hours=AGE)
 
 
 def pack_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = pack_files(spark, sf_dir)
+    files = settle(pack_files(spark, sf_dir))
     return packs.stage_results(files, packs.verify(files, NOW, max_age_hours=AGE))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stages import settle
 from ..sources.receipts import SCHEMA, parse_time
 from .integrity import canonical, receipt_errors
 
@@ -176,7 +177,8 @@ def stage_results(files: DataFrame, findings: DataFrame) -> DataFrame:
     """(pack_id, stage, passed) of every pack; packs whose manifest fails its schema have that stage only. A warning fails
     nothing; receipts with faults fail their stage though the pack may claim so."""
     packs = files.where("path = 'pack_manifest.json'").select("pack_id").distinct()
-    failed = findings.where("severity <> 'warning'").select("pack_id", "stage").distinct().withColumn("passed", F.lit(False))
+    # looked up twice, so what is found is written, not found again
+    failed = settle(findings.where("severity <> 'warning'").select("pack_id", "stage").distinct()).withColumn("passed", F.lit(False))
     stopped = failed.where("stage = 'validate_schema'").select("pack_id", F.lit(True).alias("stopped"))
     rows = packs.join(stopped, "pack_id", "left").select("pack_id", "stopped", F.explode(F.array(*map(F.lit, STAGES))).alias("stage")).where("stage = 'validate_schema' or stopped is null")
     return rows.join(failed, ["pack_id", "stage"], "left").select("pack_id", "stage", F.coalesce("passed", F.lit(True)).alias("passed"))
