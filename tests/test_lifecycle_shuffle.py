@@ -32,3 +32,11 @@ def test_decisions_of_one_receipt_are_judged_once_each(spark):
     two = [("decision_episode_id_mismatch", "r"), ("decision_references_multiple_evaluations", "r")]
     want = [*two, *two, ("final_decision_not_bound_to_final_evaluation", "x"), ("resolution_references_unknown_decision", None)]
     assert sorted(((r.error, r.about) for r in found), key=repr) == sorted(want, key=repr)
+
+
+def test_errors_are_counted_where_they_were_found(spark):
+    """Only the requests' names are shuffled beside the rows of the cases."""
+    made = tables(spark, ("r", 3))
+    results = checkpoints.lifecycle_results(made[0], checkpoints.lifecycle_errors(*made))
+    assert results._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert [tuple(r) for r in results.collect()] == [("a", False, 2)]  # another episode, and a null id
