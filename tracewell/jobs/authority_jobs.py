@@ -17,11 +17,14 @@ def _name(letter: str, number: Column) -> Column:
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_partkey", "l_suppkey", "l_shipdate")])
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.min(F.col("l_shipdate").cast("date")).alias("l_shipdate"))
     k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
     later = lambda n: F.date_format(F.date_add(day, n), "yyyy-MM-dd'T'00:00:00'Z'")
-    many = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.concat(F.lit("v"), "l_orderkey", F.lit("-"), "l_linenumber"))).alias("verifier_receipt_refs"))
-    chains = o.join(many, "o_orderkey", "left").select(
+    many = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_linenumber").alias("lines"))
+    many = many.select("o_orderkey", F.array_sort(F.transform("lines", lambda x: F.concat(F.lit("v"), "o_orderkey", F.lit("-"), x))).alias("verifier_receipt_refs"))
+    # a chain is few bytes until its references are told apart, so its partitions must not be joined by size
+    dealt = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    chains = dealt.join(many, "o_orderkey", "left").select(
         k.alias("chain_id"), F.date_add(day, 30).cast("timestamp").alias("at"), _name("m", k).alias("claim_ref"), F.when(k % 53 != 1, _name("n", k)).alias("normalization_receipt_ref"), _name("t", c % 7).alias("claim_type_ref"),
         _name("h", c % 11).alias("charter_clause_ref"), _name("l", c % 5).alias("invariant_library_ref"), F.when(k % 59 == 1, "").otherwise(_name("c", k)).alias("verifier_contract_ref"), _name("a", k).alias("adjudication_receipt_ref"),
         F.when(k % 47 != 2, _name("p", k)).alias("scope_composition_proof_ref"), F.when(k % 2 == 0, _name("x", k)).alias("action_receipt_ref"), F.when(k % 43 != 4, _name("r", k)).alias("rollback_contract_ref"),
@@ -35,7 +38,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     yes = F.lit(True)
     candidates = F.array(F.struct(_name("t", c % 7).alias("claim_type_ref"), yes.alias("viable"), F.lit(5).cast("long").alias("strictness_rank")), F.struct(_name("t", (c + 1) % 7).alias("claim_type_ref"), (k % 37 == 6).alias("viable"), F.lit(9).cast("long").alias("strictness_rank")))
     shared = o.select(c).distinct()
-    line, part, ship = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate").cast("date")
+    line, part, ship = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_shipdate")
     kind = F.concat(F.lit("k"), F.col("l_suppkey") % 3)
     parts = [
         made(o, _name("m", k), F.lit("claimant"), signature=F.when(k % 73 != 6, "s")),
@@ -55,7 +58,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
         artifacts = artifacts.unionByName(more)
     every = F.concat(F.array(*[_name(x, k) for x in "mncapxr"]), F.array(_name("t", c % 7), _name("h", c % 11), _name("l", c % 5)), F.coalesce("verifier_receipt_refs", F.array().cast("array<string>")))
     code = (F.col("chain_id") * 13 + F.ascii("ref") + F.right("ref", F.lit(1)).cast("long")) % 500
-    logged = o.join(many, "o_orderkey", "left").select(k.alias("chain_id"), F.explode(every).alias("ref")).where(code != 7)
+    logged = dealt.join(many, "o_orderkey", "left").select(k.alias("chain_id"), F.explode(every).alias("ref")).where(code != 7)
     proofs = logged.select("chain_id", "ref", F.when(code == 8, "").otherwise("7").alias("log_index"), F.lit("t").alias("integrated_time"), F.when(code == 9, "other").when(code < 250, F.concat(F.lit("hash-"), "ref")).alias("body_hash"))
     revocations = shared.select((c % 11).alias("i")).distinct().where("i % 4 = 1").select(_name("h", F.col("i")).alias("ref"), F.lit("1997-01-01").cast("timestamp").alias("revoked_at"))
     return chains, artifacts, proofs, revocations
