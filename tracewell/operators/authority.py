@@ -213,7 +213,9 @@ def findings(chains: DataFrame, artifacts: DataFrame, proofs: DataFrame, revocat
     is_kind = kind("receipt") & here & _given(c("a.receipt_kind"))
     needed = kind("contract") & here & (F.size(c("a.required_receipts")) > 0)
     side = seen.select("chain_id", *[F.when(is_role, c(x)).alias(x) for x in ("signed_by", "role")], F.when(is_kind, c("a.receipt_kind")).alias("kind"), F.when(needed, F.array_compact(c("a.required_receipts"))).alias("required"), F.when(needed, ref).alias("needs"), found.alias("found"))
-    side = side.where("role is not null or kind is not null or required is not null or found is not null").repartition("chain_id")
+    # rows grow when told apart, so partitions must not be joined by their size before
+    parts = int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = side.where("role is not null or kind is not null or required is not null or found is not null").repartition(parts, "chain_id")
 
     def fact(about: str, what: Column, role: Column = null, needs: Column = null, f: Column = F.lit(None)) -> Column:
         return F.struct(F.lit(about).alias("about"), what.alias("what"), role.alias("role"), needs.alias("needs"), f.cast(f"array<{_FINDING}>").alias("found"))
