@@ -41,7 +41,8 @@ def lifecycle_errors(requests: DataFrame, evaluations: DataFrame, resolutions: D
     rows = parts[0] if known is None else parts[0].unionByName(known.select("case_id"), allowMissingColumns=True)
     for more in parts[1:]:
         rows = rows.unionByName(more, allowMissingColumns=True)
-    rows = rows.repartition("case_id")
+    # rows grow when references are told apart, so partitions must not be joined by their size before
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id")
 
     # a row itself, and one for each evaluation that a decision refers to, or decision that a resolution names
     def look(kind: int, of_decision: Column, key: Column, receipt: Column) -> Column:
